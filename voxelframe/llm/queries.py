@@ -7,13 +7,35 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality
+from . import bpe, langid, mixing, quality, toxicity, winnow
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    held = langid.held_out(F.col("doc_id"), 4, 2)
+    found = langid.identify(documents, langid.learn(documents.where(~held)))
+    return found.select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
+def op4_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnow.compared(table(spark, sf_dir, "documents"))
+
+
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.token_digests(table(spark, sf_dir, "documents"), *bpe.public_vocabulary())
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = langid.held_out(F.col("doc_id"), 3, 1)
+    documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").where(~held)
+    found = toxicity.score(documents, toxicity.learn(documents, labels))
+    return found.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken", F.get("positions", F.lit(0)).alias("first_position"))
@@ -25,7 +47,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op9_mixing, op10_quality)}
+    return {f.__name__: f for f in (op2_language_id, op4_winnowing, op7_bpe, op8_toxicity, op9_mixing, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
