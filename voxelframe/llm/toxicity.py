@@ -31,13 +31,13 @@ from .textbatch import Words, chunks, mix64, text_buffer
 class FtrlConfig:
     sample: int = 20_000
     bits: int = 20
-    alpha: float = 0.15
+    alpha: float = 1.0
     beta: float = 1.0
-    l1: float = 0.6
-    l2: float = 0.1
-    epochs: int = 6
-    positive_weight: float = 1.5
-    least_documents: int = 3
+    l1: float = 6.0
+    l2: float = 0.0
+    epochs: int = 4
+    positive_weight: float = 1.0
+    least_documents: int = 4
 
 
 @dataclass(frozen=True)
