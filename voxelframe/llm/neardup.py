@@ -8,14 +8,15 @@ stops as soon as its next point is later than all registers.  Two texts agree
 in a register with the probability Jaccard similarity of their sets.
 
 Equal texts are one node.  Registers are cut into bands; nodes with an equal
-band form a bucket, in which each is compared with the bucket's first and last
-node.  Buckets of many nodes are cut finer by joining neighbouring bands, so
-that the first of a finer bucket is much likelier to be similar.  Pairs are
+band form a bucket.  In a bucket of at most ``crowd`` nodes all are compared;
+in a larger one each is compared with the first and the last node, and the
+bucket is cut finer by joining neighbouring bands, where the same holds.  Pairs are
 verified on their whole shingle sets: the greater of Jaccard and probability
 Jaccard similarity must be 0.8 or more.  Classes are connected components.
 
-No bucket is expanded into all its pairs, so a class can fall apart where
-similar texts meet only through dissimilar ones; README has the measured rate.
+No large bucket is expanded into all its pairs, so in a crowd of texts that
+are mostly below the limit a class can fall apart where similar texts meet
+only through dissimilar ones; README has the measured rate.
 
 Defined results: a null text counts as empty; equal texts, empty ones too, are
 copies of each other; texts without words are similar to nothing else.  The
@@ -46,7 +47,7 @@ class NearDupConfig:
     similarity: float = 0.8
     registers: int = 64
     band: int = 4
-    crowd: int = 8
+    crowd: int = 12
     finer: tuple[int, ...] = (2, 4)
 
 
@@ -141,18 +142,23 @@ def _buckets(keys: DataFrame) -> DataFrame:
     return keys.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("first"), F.max("node").alias("last")).where("n > 1")
 
 
-def _pairs(keys: DataFrame, buckets: DataFrame) -> DataFrame:
+def _pairs(keys: DataFrame, buckets: DataFrame, crowd: int) -> DataFrame:
+    """All pairs of buckets of at most ``crowd`` nodes; of others, each node with the first and the last."""
     met = keys.join(buckets, "key")
+    small = met.where(F.col("n") <= crowd).groupBy("key").agg(F.sort_array(F.collect_list("node")).alias("nodes"))
+    rest = lambda i: F.slice("nodes", i + 2, crowd)
+    listed = F.flatten(F.transform("nodes", lambda x, i: F.transform(rest(i), lambda y: F.struct(x.alias("a"), y.alias("b")))))
+    full = small.select(F.explode(listed).alias("p")).select("p.a", "p.b")
     ends = F.array_distinct(F.array("first", "last"))
-    pairs = met.select("node", F.explode(F.filter(ends, lambda e: e != F.col("node"))).alias("end"))
-    return pairs.select(F.least("node", "end").alias("a"), F.greatest("node", "end").alias("b")).distinct()
+    crowded = met.where(F.col("n") > crowd).select("node", F.explode(F.filter(ends, lambda e: e != F.col("node"))).alias("end"))
+    return full.unionByName(crowded.select(F.least("node", "end").alias("a"), F.greatest("node", "end").alias("b"))).distinct()
 
 
 def candidates(nodes: DataFrame, config: NearDupConfig) -> DataFrame:
     """Pairs (a, b) of nodes to be verified, from (node, bands)."""
     keys = nodes.select(F.explode("bands").alias("key"), "node")
     buckets = written(_buckets(keys))
-    pairs = _pairs(keys, buckets)
+    pairs = _pairs(keys, buckets, config.crowd)
     crowded = keys.join(buckets.where(F.col("n") > config.crowd).select("key"), "key", "left_semi").select("node").distinct()
     count = config.registers // config.band
     crowded_nodes = written(nodes.join(crowded, "node", "left_semi"))
@@ -160,7 +166,7 @@ def candidates(nodes: DataFrame, config: NearDupConfig) -> DataFrame:
         index = F.sequence(F.lit(0), F.lit(count - 1))
         fine = F.transform(index, lambda i: F.xxhash64(F.lit(joined), *[F.get("bands", F.pmod(i + j, F.lit(count))) for j in range(joined)]))
         more = crowded_nodes.select(F.explode(fine).alias("key"), "node")
-        pairs = pairs.unionByName(_pairs(more, _buckets(more)))
+        pairs = pairs.unionByName(_pairs(more, _buckets(more), config.crowd))
     return pairs.distinct()
 
 
