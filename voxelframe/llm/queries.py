@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, mixing, neardup, quality, toxicity, winnow
+from . import bpe, langid, mixing, neardup, quality, substring, toxicity, winnow
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.shared_passages(table(spark, sf_dir, "documents")).drop("row", "lead_row")
+
+
 def op4_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.compared(table(spark, sf_dir, "documents"))
 
@@ -51,7 +55,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_language_id, op4_winnowing, op6_minhash_near_dedup, op7_bpe, op8_toxicity, op9_mixing, op10_quality)}
+    return {f.__name__: f for f in (op2_language_id, op3_substring_dedup, op4_winnowing, op6_minhash_near_dedup, op7_bpe, op8_toxicity, op9_mixing, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
