@@ -12,15 +12,15 @@ from sliding minima, without building the narrow part of the tree
 
 Windows of two functions are intersected within their text, and the passages
 where both agree form rows (signature, text, extent).  Rows of a signature
-are joined with the extent in the signature's leading text (the least row
-hash); overlapping extents of a pair of texts are merged over all signatures,
-and the pair is verified token by token: a passage of at least 50 words with
-a Jaccard similarity of 0.8 or more.  No pair of two followers is made, so a
-passage shared by n texts gives n - 1 rows.
+are joined with the extents in its first and its last text (by row hash);
+overlapping extents of a pair of texts are merged over all signatures, and
+the pair is verified token by token: a passage of at least 50 words with a
+Jaccard similarity of 0.8 or more.  No pair of two texts in between is made,
+so a passage shared by n texts gives at most 2n - 3 rows.
 
 Passages equal in at least 50 words share all signatures and are found
-always, unless the signature's leading text shares the two min-hashes but not
-the passage.  At a similarity of 0.8, one of two signatures is shared with a
+always, unless a signature's first and last texts share the two min-hashes
+but not the passage.  At a similarity of 0.8, one of two signatures is shared with a
 probability of 0.87.
 
 Defined results: null and short texts have no passages; rows equal in doc_id
@@ -154,28 +154,42 @@ def passages(own: np.ndarray, lead: np.ndarray, config: PassageConfig) -> list[t
     shared &= at < len(ranked)
     edges = np.flatnonzero(np.diff(np.concatenate([[0], shared.astype(np.int8), [0]])))
     allowed = 2 * config.similarity / (1 + config.similarity)  # the share of a side that is common, at this similarity
-    found, now = [], None
+    joined: list[list[tuple[int, int]]] = []
+    common = 0
     for first, stop in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
-        if now is not None and (now[2] + stop - first) >= allowed * (stop - now[0]):
-            now = [now[0], stop, now[2] + stop - first]
+        if joined and (common + stop - first) >= allowed * (stop - joined[-1][0][0]):
+            joined[-1].append((first, stop))
+            common += stop - first
         else:
-            found.append(now)
-            now = [first, stop, stop - first]
-    found.append(now)
-    out = []
-    for item in found:
-        if item is None or item[1] - item[0] < config.least:
-            continue
-        first, stop, _ = item
-        places = order[at[first:stop][shared[first:stop]]]
-        # the leading text's side: from the middle of the matches, as far as the passage is long
-        middle = int(np.median(places - np.flatnonzero(shared[first:stop])))
-        low, high = max(0, middle), min(len(lead), middle + stop - first)
-        a, b = np.unique(own[first:stop]), np.unique(lead[low:high])
-        both = len(np.intersect1d(a, b, assume_unique=True))
-        likeness = both / max(1, len(a) + len(b) - both)
+            joined.append([(first, stop)])
+            common = stop - first
+    out: list[tuple[int, int, int, int, float]] = []
+
+    def take(runs: list[tuple[int, int]]) -> None:
+        """The runs as one passage, or else in two parts, cut at the widest gap."""
+        first, stop = runs[0][0], runs[-1][1]
+        if stop - first < config.least:
+            return
+        here = np.arange(first, stop)[shared[first:stop]]
+        # the leading text's side begins along the middle offset of the matches,
+        # or (tokens may repeat) at the first place of one
+        places, mine = order[at[here]], np.unique(own[first:stop])
+        likeness, low, high = 0.0, 0, 0
+        for begin in {max(0, first + int(np.median(places - here))), int(places.min()), max(0, int(places.max()) + first - stop + 1)}:
+            end = min(len(lead), begin + stop - first)
+            theirs = np.unique(lead[begin:end])
+            both = len(np.intersect1d(mine, theirs, assume_unique=True))
+            if (now := both / max(1, len(mine) + len(theirs) - both)) > likeness:
+                likeness, low, high = now, begin, end
         if likeness >= config.similarity:
             out.append((first, stop - first, low, high - low, likeness))
+        elif len(runs) > 1:
+            gap = max(range(1, len(runs)), key=lambda i: runs[i][0] - runs[i - 1][1])
+            take(runs[:gap])
+            take(runs[gap:])
+
+    for runs in joined:
+        take(runs)
     return out
 
 
@@ -188,10 +202,13 @@ def shared_passages(documents: DataFrame, config: PassageConfig = PassageConfig(
     kind = documents.schema["doc_id"].dataType.simpleString()
     rows = _rows(documents)
     found = windows(rows, config)
-    leads = found.groupBy("key").agg(F.min("row").alias("lead"), F.max("row").alias("_last")).where("lead <> _last").drop("_last")
-    met = written(found.join(leads, "key"))
-    lead_spans = met.where("row = lead").groupBy("key").agg(F.min("span").alias("lead_span"))
-    pairs = met.where("row <> lead").join(lead_spans, "key").groupBy("row", "lead").agg(F.collect_set(F.struct("span", "lead_span")).alias("spans"))
+    ends = found.groupBy("key").agg(F.min("row").alias("least"), F.max("row").alias("most")).where("least <> most")
+    met = written(found.join(ends, "key"))
+    spans = lambda name: met.where(F.col("row") == F.col(name)).groupBy("key").agg(F.min("span").alias("end_span"))
+    # the text with the greater row hash follows; the most follows all others
+    below = met.where("row <> least").join(spans("least"), "key").select("row", F.col("least").alias("lead"), "span", F.col("end_span").alias("lead_span"))
+    above = met.where("row <> least and row <> most").join(spans("most"), "key").select(F.col("most").alias("row"), F.col("row").alias("lead"), F.col("end_span").alias("span"), F.col("span").alias("lead_span"))
+    pairs = below.unionByName(above).groupBy("row", "lead").agg(F.collect_set(F.struct("span", "lead_span")).alias("spans"))
     pairs = written(pairs.mapInArrow(_merge, "row long, lead long, low long, high long, lead_low long, lead_high long"))
     wanted = pairs.select("row").union(pairs.select("lead")).distinct()
     k = config.words
