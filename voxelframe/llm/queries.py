@@ -7,13 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, mixing, neardup, quality, substring, toxicity, winnow
+from . import bpe, langid, lm, mixing, neardup, quality, substring, toxicity, winnow
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    held = langid.held_out(F.col("doc_id"), 7, 2)
+    scored = lm.score(documents, *lm.learn(documents.where(~held)))
+    return scored.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     held = langid.held_out(F.col("doc_id"), 4, 2)
@@ -55,7 +62,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_language_id, op3_substring_dedup, op4_winnowing, op6_minhash_near_dedup, op7_bpe, op8_toxicity, op9_mixing, op10_quality)}
+    return {f.__name__: f for f in (op1_lm_scoring, op2_language_id, op3_substring_dedup, op4_winnowing, op6_minhash_near_dedup, op7_bpe, op8_toxicity, op9_mixing, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
