@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, lm, mixing, neardup, quality, substring, toxicity, winnow
+from . import bpe, chat, langid, lm, mixing, neardup, quality, substring, toxicity, winnow
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,13 @@ def op4_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.compared(table(spark, sf_dir, "documents"))
 
 
+def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    return chat.format_digests(rows.unionByName(more))
+
+
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(table(spark, sf_dir, "documents")).drop("text_key")
 
@@ -62,7 +69,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lm_scoring, op2_language_id, op3_substring_dedup, op4_winnowing, op6_minhash_near_dedup, op7_bpe, op8_toxicity, op9_mixing, op10_quality)}
+    return {f.__name__: f for f in (op1_lm_scoring, op2_language_id, op3_substring_dedup, op4_winnowing, op5_chat_formatting, op6_minhash_near_dedup, op7_bpe, op8_toxicity, op9_mixing, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
