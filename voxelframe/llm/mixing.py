@@ -19,7 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import written
+from .store import set_aside, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 Schedule = Sequence[tuple[float, float]]
@@ -150,6 +150,7 @@ def mixed_documents(documents: DataFrame, **options) -> DataFrame:
     Whole texts only, so each source's words differ from its target by at most
     half of one document; the copies of a document are equal rows.
     """
+    documents, back = set_aside(documents)
     names = list(documents.columns)
     keyed = documents.withColumn("_row", F.xxhash64(*names))
     mixed = mix(keyed, columns=("_row",), **options)
@@ -159,4 +160,4 @@ def mixed_documents(documents: DataFrame, **options) -> DataFrame:
     joined = keyed.join(counts, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_row") == F.col("_key")))
     single = joined.where("_n = 1").select(*names, "_copies")
     several = joined.where("_n > 1").select(*names, "_copies").distinct()
-    return single.unionByName(several).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*names)
+    return back(single.unionByName(several).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))))

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .store import written
+from .store import set_aside, written
 from .textbatch import Words, chunks, mix64, text_buffer
 
 
@@ -264,6 +264,7 @@ def classes(documents: DataFrame, config: NearDupConfig = NearDupConfig()) -> Da
 
 def keep_one_of_each(documents: DataFrame, config: NearDupConfig = NearDupConfig()) -> DataFrame:
     """The documents without near-duplicates: the row of the least doc_id of each class stays."""
+    documents, back = set_aside(documents)
     names = list(documents.columns)
     kept = classes(documents, config).where("kept").groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).agg(F.count("*").alias("_rows"))
     key = F.xxhash64(F.coalesce("text", F.lit("")))
@@ -271,4 +272,4 @@ def keep_one_of_each(documents: DataFrame, config: NearDupConfig = NearDupConfig
     found = found.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key")))
     single = found.where("_rows = 1").select(*names)
     several = found.where("_rows > 1").dropDuplicates(["doc_id", "_text_key"]).select(*names)
-    return single.unionByName(several)
+    return back(single.unionByName(several))

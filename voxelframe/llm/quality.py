@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .store import set_aside
 from .textbatch import Words, chunks, mix64, sums_by_doc, text_buffer
 
 #: Character classes of a byte (fixed values): 0 lower case, 1 upper case,
@@ -237,6 +238,5 @@ def with_quality(documents: DataFrame, keep: list[str], references: References,
 
 def reject_low_quality(documents: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
     """The documents that pass, with all their columns."""
-    columns = list(documents.columns)
-    judged = with_quality(documents, columns, learn_references(documents, rules), rules)
-    return judged.where("kept").select(*columns)
+    inner, back = set_aside(documents)
+    return back(with_quality(inner, list(inner.columns), learn_references(inner, rules), rules).where("kept"))

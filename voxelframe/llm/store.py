@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -23,3 +25,18 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}.parquet"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def set_aside(documents: DataFrame, used: tuple[str, ...] = ("doc_id", "text", "source", "lang", "n_chars")) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``documents`` with all columns but ``used`` under names of our own, and the way back.
+
+    Whatever a table's other columns are called, they clash with nothing.
+    """
+    hidden = {c: f"aside_{i}" for i, c in enumerate(documents.columns) if c not in used}
+    col = lambda name: F.col("`" + name.replace("`", "``") + "`")
+    inner = documents.select(*[col(c).alias(hidden.get(c, c)) for c in documents.columns])
+
+    def back(df: DataFrame) -> DataFrame:
+        return df.select(*[F.col(hidden.get(c, c)).alias(c) for c in documents.columns])
+
+    return inner, back

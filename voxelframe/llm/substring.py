@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import written
+from .store import set_aside, written
 from .textbatch import Words, chunks, mix64, text_buffer
 from .winnow import sliding_min
 
@@ -268,6 +268,7 @@ def without_repeats(documents: DataFrame, config: PassageConfig = PassageConfig(
 
     All rows stay; ``n_chars``, if there is such a column, is counted anew.
     """
+    documents, back = set_aside(documents)
     names = list(documents.columns)
     cuts = shared_passages(documents, config).groupBy(F.col("row").alias("_cut_row")).agg(F.collect_set(F.struct("first_word", "n_words")).alias("_cuts"))
     keyed = documents.withColumn("_row", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
@@ -285,4 +286,4 @@ def without_repeats(documents: DataFrame, config: PassageConfig = PassageConfig(
     if "n_chars" in names:
         kind = documents.schema["n_chars"].dataType
         changed = changed.withColumn("n_chars", F.length("text").cast(kind)).select(*names)
-    return whole.unionByName(changed)
+    return back(whole.unionByName(changed))
