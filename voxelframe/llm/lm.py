@@ -23,7 +23,7 @@ equal in doc_id and text get equal results.  Extra columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import written
-from .textbatch import Words, chunks, mix64, sums_by_doc, text_buffer
+from .textbatch import Words, chunks, mix64, text_buffer
 
 END = np.uint64(0x2545F4914F6CDD1D)
 START = np.uint64(0x9FB21C651E98DF25)
@@ -51,10 +51,10 @@ class LmConfig:
     rate: float = 0.35
 
     @property
-    def rows(self) -> tuple[int, int]:
-        """Rows of the weights of classes and of members."""
+    def rows(self) -> tuple[tuple[int, ...], tuple[int, ...]]:
+        """Rows of each feature's weights for classes and for members; 65,536 at most."""
         words = 1 << self.bits
-        return 3 * words + self.classes**3, 2 * words
+        return (words, words, words, self.classes**3), (words, words)
 
 
 @dataclass
@@ -231,8 +231,8 @@ class LmModel:
     class_bias: np.ndarray
     member_bias: np.ndarray
     rest_size: np.ndarray  # tokens + words + 1 of each class's last member
-    class_weights: np.ndarray | None = None
-    member_weights: np.ndarray | None = None
+    class_weights: tuple[np.ndarray, ...] = ()
+    member_weights: tuple[np.ndarray, ...] = ()
 
     def places(self, got: Tokens) -> tuple[np.ndarray, np.ndarray]:
         """Class and member of each token."""
@@ -241,47 +241,48 @@ class LmModel:
         member = np.where(row >= 0, self.head_member[row], self.config.members - 1)
         return kind.astype(np.int64), member.astype(np.int64)
 
-    def features(self, got: Tokens, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rows of weights that are active at each token: 4 for its class, 2 for its member."""
-        c, words = self.config.classes, 1 << self.config.bits
-        shift = np.uint64(64 - self.config.bits)
+    def features(self, got: Tokens, kind: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Active row of each feature at each token, for its class and for its member."""
+        c, shift = self.config.classes, np.uint64(64 - self.config.bits)
         one, two = back(got.hash, got, 1, START), back(got.hash, got, 2, START)
-        row = lambda h: (mix64(h) >> shift).astype(np.int64)
+        row = lambda h: (mix64(h) >> shift).astype(np.uint16)
         past = [back(kind, got, j, 0) for j in (1, 2, 3)]
-        trio = (past[0] * c + past[1]) * c + past[2]
-        for_class = np.stack([row(one), words + row(one * np.uint64(5) + two), 2 * words + row(two + np.uint64(7)), 3 * words + trio], axis=1)
+        trio = ((past[0] * c + past[1]) * c + past[2]).astype(np.uint16)
         own = mix64(kind.astype(np.uint64) + np.uint64(101))
-        for_member = np.stack([row(one ^ own), words + row(past[0].astype(np.uint64) * np.uint64(1009) + own)], axis=1)
-        return for_class, for_member
+        for_class = [row(one), row(one * np.uint64(5) + two), row(two + np.uint64(7)), trio]
+        return for_class, [row(one ^ own), row(past[0].astype(np.uint64) * np.uint64(1009) + own)]
 
 
-def _softmax(logits: np.ndarray) -> np.ndarray:
-    out = np.exp(logits - logits.max(axis=1, keepdims=True))
-    out /= out.sum(axis=1, keepdims=True)
-    return out
+def _exponentials(weights: Sequence[np.ndarray], rows: list[np.ndarray], bias: np.ndarray) -> np.ndarray:
+    logits = bias + weights[0].take(rows[0], axis=0)
+    for table, row in zip(weights[1:], rows[1:], strict=True):
+        logits += table.take(row, axis=0)
+    np.clip(logits, -60, 60, out=logits)
+    return np.exp(logits, out=logits)
 
 
 class Descent:
-    """Per-row adaptive gradient steps on one table of weights."""
+    """Adaptive gradient steps on the weights of several features, by row."""
 
-    def __init__(self, rows: int, width: int, rate: float):
-        self.weights, self.square, self.met = np.zeros((rows, width), np.float32), np.full(rows, 1e-3, np.float32), np.zeros(rows, np.int64)
-        self.rate = rate
+    def __init__(self, rows: tuple[int, ...], width: int, rate: float):
+        self.weights = [np.zeros((n, width), np.float32) for n in rows]
+        self.square = [np.full(n, 1e-3, np.float32) for n in rows]
+        self.met = [np.zeros(n, np.int64) for n in rows]
+        self.rate, self.ones = np.float32(rate), np.ones(width, np.float32)
 
-    def step(self, index: np.ndarray, target: np.ndarray, bias: np.ndarray) -> None:
-        logits = bias + self.weights[index].sum(axis=1)
-        gradient = _softmax(logits)
+    def step(self, rows: list[np.ndarray], target: np.ndarray, bias: np.ndarray) -> None:
+        gradient = _exponentials(self.weights, rows, bias)
+        gradient /= (gradient @ self.ones)[:, None]
         gradient[np.arange(len(target)), target] -= 1
-        for f in range(index.shape[1]):
-            order = np.argsort(index[:, f], kind="stable")
-            ranked = index[order, f]
+        for weights, square, met, row in zip(self.weights, self.square, self.met, rows, strict=True):
+            order = np.argsort(row, kind="stable")
+            ranked = row[order]
             first = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
-            row = ranked[first]
-            total = np.add.reduceat(gradient[order], first, axis=0)
-            count = np.diff(np.append(first, len(ranked)))
-            self.met[row] += count
-            self.square[row] += (total * total).mean(axis=1)
-            self.weights[row] -= (self.rate / np.sqrt(self.square[row]))[:, None] * total
+            at = ranked[first]
+            total = np.add.reduceat(gradient.take(order, axis=0), first, axis=0)
+            met[at] += np.diff(np.append(first, len(ranked)))
+            square[at] += np.einsum("ij,ij->i", total, total) / len(self.ones)
+            weights[at] -= (self.rate / np.sqrt(square[at]))[:, None] * total
 
 
 def train(texts: DataFrame, model: LmModel) -> LmModel:
@@ -290,6 +291,7 @@ def train(texts: DataFrame, model: LmModel) -> LmModel:
     shared = texts.sparkSession.sparkContext.broadcast(model)
     width = max(config.classes, config.members)
     rows = config.rows
+    bases = np.concatenate([[0], np.cumsum([*rows[0], *rows[1]])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
@@ -301,20 +303,23 @@ def train(texts: DataFrame, model: LmModel) -> LmModel:
                 of_class, of_member = model.features(got, kind)
                 for low in range(0, len(kind), config.batch):
                     at = slice(low, low + config.batch)
-                    for_class.step(of_class[at], kind[at], model.class_bias)
-                    for_member.step(of_member[at], member[at], model.member_bias[kind[at]])
-        for base, table in ((0, for_class), (rows[0], for_member)):
-            used = np.flatnonzero(table.met)
+                    for_class.step([r[at] for r in of_class], kind[at], model.class_bias)
+                    for_member.step([r[at] for r in of_member], member[at], model.member_bias.take(kind[at], axis=0))
+        for base, weights, met in zip(bases, for_class.weights + for_member.weights, for_class.met + for_member.met, strict=False):
+            used = np.flatnonzero(met)
             cells = np.zeros((len(used), width), np.float32)
-            cells[:, : table.weights.shape[1]] = table.weights[used] * table.met[used, None]
-            yield pa.RecordBatch.from_arrays([pa.array(used + base), pa.array(table.met[used]), *[pa.array(cells[:, j]) for j in range(width)]], ["row", "met", *[f"w{j}" for j in range(width)]])
+            cells[:, : weights.shape[1]] = weights[used] * met[used, None]
+            yield pa.RecordBatch.from_arrays([pa.array(used + base), pa.array(met[used]), *[pa.array(cells[:, j]) for j in range(width)]], ["row", "met", *[f"w{j}" for j in range(width)]])
 
     sums = texts.mapInArrow(run, "row long, met long, " + ", ".join(f"w{j} float" for j in range(width)))
     got = sums.groupBy("row").agg(F.sum("met").alias("met"), *[F.sum(f"w{j}").alias(f"w{j}") for j in range(width)]).toArrow()
-    whole = np.zeros((sum(rows), width), np.float32)
+    whole = np.zeros((bases[-1], width), np.float32)
     met = got.column("met").to_numpy()
-    whole[got.column("row").to_numpy()] = np.stack([got.column(f"w{j}").to_numpy() / met for j in range(width)], axis=1) if len(met) else 0
-    model.class_weights, model.member_weights = whole[: rows[0], : config.classes].copy(), whole[rows[0] :, : config.members].copy()
+    if len(met):
+        whole[got.column("row").to_numpy()] = np.stack([got.column(f"w{j}").to_numpy() / met for j in range(width)], axis=1)
+    tables = [whole[a:b] for a, b in zip(bases[:-1], bases[1:], strict=True)]
+    model.class_weights = tuple(t[:, : config.classes].copy() for t in tables[: len(rows[0])])
+    model.member_weights = tuple(t[:, : config.members].copy() for t in tables[len(rows[0]) :])
     return model
 
 
@@ -365,10 +370,9 @@ def token_scores(got: Tokens, model: LmModel) -> tuple[np.ndarray, np.ndarray, n
     for low in range(0, len(kind), model.config.batch):
         at = slice(low, low + model.config.batch)
         here = np.arange(len(kind[at]))
-        for index, weights, bias, target in ((of_class, model.class_weights, model.class_bias, kind), (of_member, model.member_weights, model.member_bias[kind[at]], member)):
-            logits = bias + weights[index[at]].sum(axis=1)
-            most = logits.max(axis=1)
-            out[at] += logits[here, target[at]] - most - np.log(np.exp(logits - most[:, None]).sum(axis=1))
+        for rows, weights, bias, target in ((of_class, model.class_weights, model.class_bias, kind), (of_member, model.member_weights, model.member_bias.take(kind[at], axis=0), member)):
+            e = _exponentials(weights, [r[at] for r in rows], bias)
+            out[at] += np.log(e[here, target[at]] / (e @ np.ones(e.shape[1], np.float32)))
     row = model.table.find(got.hash)
     # a word in its class's last member has its add-one share of it; of words not in the table, the join adds it
     rest = (member == model.config.members - 1) & (row >= 0)
@@ -408,7 +412,8 @@ def score(documents: DataFrame, model: LmModel | None, counts: DataFrame) -> Dat
                 one = rare[first]
                 at = pa.array(np.searchsorted(got.doc[one], np.arange(part.num_rows + 1)).astype(np.int32))
                 lists = [pa.ListArray.from_arrays(at, pa.array(x.astype(np.int64))) for x in (got.hash[one].view(np.int64), times, classes[one])]
-                cells = [pa.array(lengths), pa.array(sums_by_doc((row >= 0).astype(np.int64), got.first)), pa.array(sums_by_doc(base, got.first)), pa.array(sums_by_doc(own, got.first))]
+                total = lambda x: np.bincount(got.doc, weights=x, minlength=part.num_rows)  # noqa: B023, E731
+                cells = [pa.array(lengths), pa.array(total(row >= 0).astype(np.int64)), pa.array(total(base)), pa.array(total(own))]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("row"), *cells, *lists], names)
 
     scored = written(rows.mapInArrow(run, f"doc_id {kind}, row long, n_tokens long, known long, base double, own double, words array<long>, times array<long>, kinds array<long>"))

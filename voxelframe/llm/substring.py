@@ -6,9 +6,11 @@ position), a node and its subtree are a compact window: every subsequence that
 holds the node and stays inside the subtree has the node's hash as its
 min-hash.  Only windows of at least ``least`` tokens can hold a passage of
 that length.  A node's subtree is that wide just if the node is the minimum of
-some run of ``least`` tokens, so the wide nodes and their extents are read off
-from sliding minima, without building the narrow part of the tree
-(``cartesian_windows`` builds the tree itself; tests compare the two).
+some ``least`` tokens in a row, so the wide nodes are read off from sliding
+minima, each with the part of its subtree less than ``least`` tokens away,
+without building the narrow part of the tree (``cartesian_windows`` builds the
+tree itself; tests compare the two).  Longer extents come back when the
+windows of a pair of texts are merged.
 
 Windows of two functions are intersected within their text, and the passages
 where both agree form rows (signature, text, extent).  Rows of a signature

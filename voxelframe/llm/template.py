@@ -94,9 +94,18 @@ def _text(value: Any) -> str:
     return "" if value is None else value if isinstance(value, str) else str(value)
 
 
+def _numbers(name: str, call: Callable) -> Callable:
+    def run(*values: Any) -> Any:
+        if not all(isinstance(v, (int, float)) for v in values):
+            raise TemplateError(f"{name} is for numbers; texts can be neither repeated nor formatted")
+        return call(*values)
+
+    return run
+
+
 OPERATORS: dict[str, Callable] = {
     "==": operator.eq, "!=": operator.ne, "<": operator.lt, "<=": operator.le, ">": operator.gt, ">=": operator.ge,
-    "+": operator.add, "-": operator.sub, "*": operator.mul, "%": operator.mod, "~": lambda a, b: _text(a) + _text(b),
+    "+": operator.add, "-": operator.sub, "*": _numbers("*", operator.mul), "%": _numbers("%", operator.mod), "~": lambda a, b: _text(a) + _text(b),
     "in": lambda a, b: a in b, "not": operator.not_, "neg": operator.neg,
 }
 FILTERS: dict[str, Callable] = {"trim": lambda x: _text(x).strip(), "upper": lambda x: _text(x).upper(), "lower": lambda x: _text(x).lower(), "length": len, "string": _text}
@@ -385,14 +394,7 @@ def _expression(node: Any, filters: Mapping[str, Callable]) -> Callable[[Scope],
     if node.name == "or":
         return lambda scope: args[0](scope) or args[1](scope)
     call = filters[node.name[1:]] if node.name[0] == "|" else OPERATORS[node.name]
-
-    def apply(scope: Scope) -> Any:
-        values = [a(scope) for a in args]
-        if node.name == "*" and not all(isinstance(v, (int, float)) for v in values) or node.name == "%" and isinstance(values[0], str):
-            raise TemplateError("texts can be neither repeated nor formatted")
-        return call(*values)
-
-    return apply
+    return lambda scope: call(*[a(scope) for a in args])
 
 
 def _block(body: tuple, filters: Mapping[str, Callable], generated: bool) -> Callable[[Scope], Iterator[Piece]]:

@@ -133,8 +133,3 @@ class Words:
 def batch_words(column: pa.Array, lower: bool = False) -> Words:
     return Words(*text_buffer(column), lower=lower)
 
-
-def sums_by_doc(values: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Sums of ``values`` between consecutive entries of ``first`` (n+1 of them)."""
-    total = np.concatenate([np.zeros((1, *values.shape[1:]), values.dtype), np.cumsum(values, axis=0)])
-    return total[first[1:]] - total[first[:-1]]
