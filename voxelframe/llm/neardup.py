@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .store import set_aside, written
+from .store import maybe_in, set_aside, written
 from .textbatch import Words, chunks, mix64, text_buffer
 
 
@@ -245,8 +245,8 @@ def classes(documents: DataFrame, config: NearDupConfig = NearDupConfig()) -> Da
     nodes = written(by_node.select("node", "bands", "r.doc_id", "r.text_key"))
     pairs = written(candidates(nodes.select("node", "bands"), config))
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "doc_id", "text_key"), "node")
-    wanted = wanted.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
-    keyed = _keyed(documents)
+    wanted = written(wanted.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")))
+    keyed = maybe_in(_keyed(documents), "text_key", wanted.select("_key"))
     texts = keyed.join(wanted, keyed["doc_id"].eqNullSafe(wanted["_id"]) & (keyed["text_key"] == wanted["_key"]), "left_semi").select("text")
     sets = written(shingle_sets(texts, config).dropDuplicates(["node"]))
     links = written(verified(pairs, sets, config))

@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -40,3 +40,27 @@ def set_aside(documents: DataFrame, used: tuple[str, ...] = ("doc_id", "text", "
         return df.select(*[F.col(hidden.get(c, c)).alias(c) for c in documents.columns])
 
     return inner, back
+
+
+BIT_WORDS = 1 << 17
+
+
+def _place(value: Column) -> tuple[Column, Column]:
+    return F.pmod(F.shiftrightunsigned(value, 6), F.lit(BIT_WORDS)), F.pmod(value, F.lit(64)).cast("int")
+
+
+def maybe_in(df: DataFrame, column: str, values: DataFrame, there: bool = True) -> DataFrame:
+    """Rows whose 64-bit hash may be among ``values``; with ``there`` false, those that are surely not.
+
+    A bitmap of a fixed size (8 million bits, 1 MB) is sent to all tasks, so
+    that rows without a match need no shuffle.  With very many values it fills
+    up and lets more rows pass, which the join that follows puts right.
+    """
+    word, bit = _place(F.col(values.columns[0]))
+    some = values.groupBy(word.alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, CAST(pmod({values.columns[0]}, 64) AS INT))")).alias("bits"))
+    every = df.sparkSession.range(BIT_WORDS).join(some, F.col("id") == F.col("word"), "left")
+    cells = F.sort_array(F.collect_list(F.struct("id", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))))
+    bitmap = every.agg(F.transform(cells, lambda c: c["bits"]).alias("_bitmap"))
+    word, bit = _place(F.col(column))
+    found = F.getbit(F.get("_bitmap", word.cast("int")), bit) == 1
+    return df.join(F.broadcast(bitmap), found, "left_semi" if there else "left_anti")

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import set_aside, written
+from .store import maybe_in, set_aside, written
 from .textbatch import Words, chunks, mix64, text_buffer
 from .winnow import sliding_min
 
@@ -212,7 +212,7 @@ def shared_passages(documents: DataFrame, config: PassageConfig = PassageConfig(
     above = met.where("row <> least and row <> most").join(spans("most"), "key").select(F.col("most").alias("row"), F.col("row").alias("lead"), F.col("end_span").alias("span"), F.col("span").alias("lead_span"))
     pairs = below.unionByName(above).groupBy("row", "lead").agg(F.collect_set(F.struct("span", "lead_span")).alias("spans"))
     pairs = written(pairs.mapInArrow(_merge, "row long, lead long, low long, high long, lead_low long, lead_high long"))
-    wanted = pairs.select("row").union(pairs.select("lead")).distinct()
+    wanted = written(pairs.select("row").union(pairs.select("lead")).distinct())
     k = config.words
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,7 +223,7 @@ def shared_passages(documents: DataFrame, config: PassageConfig = PassageConfig(
                 cells = [tokens[a : max(a, b - k + 1)].tobytes() for a, b in zip(words.first_word[:-1].tolist(), words.first_word[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("row"), part.column("doc_id"), pa.array(cells, pa.binary())], ["row", "doc_id", "tokens"])
 
-    texts = rows.join(wanted, "row", "left_semi").mapInArrow(read, f"row long, doc_id {kind}, tokens binary")
+    texts = maybe_in(rows, "row", wanted).join(wanted, "row", "left_semi").mapInArrow(read, f"row long, doc_id {kind}, tokens binary")
     texts = written(texts.dropDuplicates(["row"]))
 
     def piece(low: str, high: str):
@@ -273,19 +273,17 @@ def without_repeats(documents: DataFrame, config: PassageConfig = PassageConfig(
     documents, back = set_aside(documents)
     names = list(documents.columns)
     cuts = shared_passages(documents, config).groupBy(F.col("row").alias("_cut_row")).agg(F.collect_set(F.struct("first_word", "n_words")).alias("_cuts"))
+    cuts = written(cuts)
     keyed = documents.withColumn("_row", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
-    joined = keyed.join(cuts, F.col("_row") == F.col("_cut_row"), "left")
-    whole = joined.where("_cuts is null").select(*names)
-    parts = joined.where("_cuts is not null").select(*names, "_cuts")
+    cut_rows = cuts.select("_cut_row")
+    maybe = maybe_in(keyed, "_row", cut_rows).join(cuts, F.col("_row") == F.col("_cut_row"), "left").select(*names, "_cuts")
+    whole = maybe_in(keyed, "_row", cut_rows, there=False).select(*names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [cut_words(t.encode(), [(c["first_word"], c["n_words"]) for c in cuts]) for t, cuts in zip(batch.column("text").to_pylist(), batch.column("_cuts").to_pylist(), strict=True)]
-            columns = [pa.array([t.decode() for t in texts]) if n == "text" else batch.column(n) for n in names]
-            yield pa.RecordBatch.from_arrays(columns, names)
-
-    changed = parts.mapInArrow(run, documents.schema)
-    if "n_chars" in names:
-        kind = documents.schema["n_chars"].dataType
-        changed = changed.withColumn("n_chars", F.length("text").cast(kind)).select(*names)
-    return back(whole.unionByName(changed))
+            texts = [cut_words(t.encode(), [(c["first_word"], c["n_words"]) for c in cuts]).decode() if cuts else t for t, cuts in zip(batch.column("text").to_pylist(), batch.column("_cuts").to_pylist(), strict=True)]
+            sizes = [len(t) if cut else n for t, cut, n in zip(texts, batch.column("_cuts").to_pylist(), batch.column("n_chars").to_pylist(), strict=True)] if "n_chars" in names else []
+            changed = {"text": texts, "n_chars": sizes}
+            yield pa.RecordBatch.from_arrays([pa.array(changed[n], batch.column(n).type) if n in changed else batch.column(n) for n in names], names)
+
+    return back(whole.unionByName(maybe.mapInArrow(run, documents.schema)))
