@@ -28,7 +28,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .store import written
@@ -330,7 +330,10 @@ def learn(texts: DataFrame, config: LmConfig = LmConfig()) -> tuple[LmModel | No
     total = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     if not total["v"]:
         return None, counts
-    top = counts.orderBy(F.desc("n"), "word").limit(config.table_words).select("word", "suffix", "n").toArrow()
+    # the count from which on the words fit the table, by the number of words of each count: nothing is sorted
+    upto = F.sum("words").over(Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, 0))
+    least = counts.groupBy("n").agg(F.count("*").alias("words")).withColumn("upto", upto).where(F.col("upto") <= config.table_words).agg(F.min("n").alias("n")).first()["n"]
+    top = counts.where(F.col("n") >= F.lit(least)).select("word", "suffix", "n").toArrow()
     word, suffix, n = (top.column(c).to_numpy() for c in ("word", "suffix", "n"))
     order = np.lexsort((word, -n))
     word, suffix, n = word[order].view(np.uint64), suffix[order], n[order]
