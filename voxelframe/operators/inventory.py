@@ -40,15 +40,15 @@ def apply_filter(inventory: DataFrame, reason: Column, policy: str = "skip") ->
 
 
 def warnings(row: dict[str, Column]) -> Column:
-    """Array of codes for what is missing, private or unusable in a row."""
+    """Codes of what is private, missing or unusable in a row, in a fixed order."""
     absent = lambda c: blank_to_null(c).isNull()
     rules = [
-        ("phi_patient_name", ~absent(row["patient_name"])), ("phi_birth_date", ~absent(row["birth_date"])),
-        ("unsupported_transfer_syntax", syntax_class(row["transfer_syntax_uid"]) == "unsupported"),
-        ("missing_patient_id", absent(row["patient_id"])), ("missing_study_uid", absent(row["study_uid"])),
-        ("missing_series_uid", absent(row["series_uid"])), ("missing_sop_uid", absent(row["sop_uid"])),
-        ("missing_view_position", absent(row["view_position"])), ("missing_pixel_spacing", row["pixel_spacing"].isNull()),
-        ("zero_dimensions", (F.coalesce(row["rows"], F.lit(0)) == 0) | (F.coalesce(row["columns"], F.lit(0)) == 0)),
+        ("phi_patient_name", ~absent(row["patient_name"])), ("phi_patient_birth_date", ~absent(row["birth_date"])),
+        ("unsupported_transfer_syntax", ~syntax_class(row["transfer_syntax_uid"]).isin("uncompressed", "native")),
+        ("missing_patient_id", absent(row["patient_id"])), ("missing_study_instance_uid", absent(row["study_instance_uid"])),
+        ("missing_series_instance_uid", absent(row["series_instance_uid"])), ("missing_sop_instance_uid", absent(row["sop_instance_uid"])),
+        ("missing_view_position", absent(row["view_position"])), ("missing_pixel_spacing", row["pixel_spacing"].isNull() & row["imager_pixel_spacing"].isNull()),
+        ("invalid_image_dimensions", F.coalesce(row["rows"] == 0, F.lit(False)) | F.coalesce(row["columns"] == 0, F.lit(False))),
     ]
     return F.filter(F.array(*[F.when(test, F.lit(code)) for code, test in rules]), lambda c: c.isNotNull())
 
