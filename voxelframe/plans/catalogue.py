@@ -662,3 +662,168 @@ def cache_inspection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rules = {"length": F.size("values") != 64, "label_range": ~F.col("label").between(0, 8), "finite": F.array_min("values").isNull()}
     return cache.check_rows(views.volumes(spark, sf_dir), rules)
+
+
+# functions and smaller operators ---------------------------------------------------------------
+
+
+@query("SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k FROM events")
+def json_field_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.table(spark, sf_dir, "events").select("event_id", text.json_number(F.col("props"), "k").alias("k"))
+
+
+@query("""SELECT page_id, CASE WHEN name LIKE '%.%' THEN lower(split_part(name, '.', -1)) ELSE '' END AS ext, replace(replace(replace(replace(url, '/', '_'), '\\', '_'), ':', '_'), ' ', '_') AS component
+    FROM (SELECT page_id, url, split_part(url, '/', -1) AS name FROM pages)""")
+def path_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.table(spark, sf_dir, "pages").select("page_id", text.extension(F.col("url")).alias("ext"), text.safe_component(F.col("url")).alias("component"))
+
+
+@query("""SELECT vec_id, x + 4 * (y + 4 * z) AS flat, least(greatest(x - 1, 0), 2) AS start_x, CASE WHEN n = 1 THEN 1 ELSE CAST(round((n - 1) * 1.5 / 2.0) AS INT) + 1 END AS resampled
+    FROM (SELECT vec_id, CAST(vec_id % 4 AS INT) AS x, CAST((vec_id // 4) % 4 AS INT) AS y, CAST((vec_id // 16) % 4 AS INT) AS z, CAST(vec_id % 9 + 1 AS INT) AS n FROM embeddings)""")
+def index_and_shape_arithmetic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = views.volumes(spark, sf_dir).select("vec_id", *[c.alias(n) for c, n in zip(text.from_flat(F.col("vec_id") % 64, (4, 4, 4)), "xyz", strict=True)], (F.col("vec_id") % 9 + 1).cast("int").alias("n"))
+    shape = volumes.resampled_shape(F.col("n"), F.lit(1.5), F.lit(2.0))
+    return rows.select("vec_id", text.flat_index(F.col("x"), F.col("y"), F.col("z"), (4, 4, 4)).alias("flat"), text.clamp_start(F.col("x"), 2, 4).alias("start_x"), shape.alias("resampled"))
+
+
+@query("""WITH b AS (SELECT l_orderkey, l_linenumber, least(greatest(l_quantity - 10, 0), 40) AS x1, least(greatest(l_quantity - 10 + l_tax * 200, 0), 40) AS x2, 5.0 AS y1, 15.0 AS y2 FROM lineitem)
+    SELECT l_orderkey, l_linenumber, count(*) AS n, round(sum((x2 - x1) * (y2 - y1) / (40 * 20)), 6) AS area_fraction, round(sum((x1 + x2) / 2 / 40), 6) AS center_x_fraction FROM b WHERE x2 > x1 GROUP BY ALL""")
+def box_fractions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from voxelframe.sources import challenge
+
+    box = challenge.clamp_box(F.col("l_quantity") - 10, F.lit(5.0), F.col("l_tax") * 200, F.lit(10.0), F.lit(40.0), F.lit(20.0))
+    rows = views.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", box.alias("b")).where("b is not null")
+    return rounded(rows.groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n"), F.sum("b.area_fraction").alias("area_fraction"), F.sum("b.center_x_fraction").alias("center_x_fraction")), "area_fraction", "center_x_fraction")
+
+
+@query("""SELECT p_partkey, CASE p_size % 8 WHEN 0 THEN 'uncompressed' WHEN 1 THEN 'uncompressed' WHEN 2 THEN 'uncompressed' WHEN 3 THEN 'native' WHEN 4 THEN 'native' WHEN 5 THEN 'optional' ELSE 'unsupported' END AS kind FROM part""")
+def transfer_syntax_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    uids = ["1.2.840.10008.1.2", "1.2.840.10008.1.2.1", "1.2.840.10008.1.2.2", "1.2.840.10008.1.2.4.50", "1.2.840.10008.1.2.5", "1.2.840.10008.1.2.4.90", "1.2.3", ""]
+    uid = F.get(F.array(*[F.lit(u) for u in uids]), F.col("p_size") % 8)
+    return views.table(spark, sf_dir, "part").select("p_partkey", inventory.syntax_class(uid).alias("kind"))
+
+
+@query("""WITH r AS (SELECT event_type AS group_key, user_id AS repeat, CASE WHEN min(value) > 1 THEN 'ok' ELSE 'bad' END AS status FROM events GROUP BY ALL), c AS (SELECT group_key, count(DISTINCT repeat) AS completed, count(*) FILTER (WHERE status = 'ok') AS ok, count(*) FILTER (WHERE status <> 'ok') AS failed FROM r GROUP BY 1)
+    SELECT group_key, completed, ok, failed, 150 AS expected, CASE WHEN failed > 0 THEN 'failed' WHEN completed < 150 THEN 'incomplete' ELSE 'ok' END AS status FROM c""")
+def repeat_group_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = views.repeats(spark, sf_dir).groupBy("group_key", "repeat").agg(F.when(F.min("value") > 1, "ok").otherwise("bad").alias("status"))
+    return repeats.group_status(rows, ["group_key"], 150)
+
+
+@query(f"""WITH {REPEATS}, x AS (SELECT group_key, count, 100 * stdev / mean / 10 AS cv, mean / (SELECT mean FROM s WHERE group_key = 'click') AS speedup FROM s),
+    y AS (SELECT *, CASE WHEN count < 2 THEN 'insufficient' WHEN cv <= 3 THEN 'ok' WHEN cv <= 5 THEN 'warn' ELSE 'reject' END AS stability FROM x)
+    SELECT group_key, stability, round(speedup, 6) AS speedup, CASE WHEN stability = 'reject' THEN 'reject' WHEN stability = 'ok' AND speedup >= 1 THEN 'promote' ELSE 'hold' END AS decision FROM y""")
+def promotion_readiness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The deviation is scaled down, so that all outcomes occur."""
+    out = repeats.repeat_summary(_repeat_means(spark, sf_dir), ["group_key"], "value").withColumn("cv_percent", F.col("cv_percent") / 10)
+    out = out.withColumn("stability", repeats.stability(F.col("count"), F.col("cv_percent"))).join(repeats.speedups(out, "group_key", "click").select("group_key", "speedup"), "group_key")
+    return rounded(repeats.promotion(out).select("group_key", "stability", "speedup", "decision"), "speedup")
+
+
+@query("SELECT event_type, count(*) FILTER (WHERE event_id % 7 = 0) AS cold, count(*) FILTER (WHERE event_id % 7 <> 0) AS reused, count(DISTINCT user_id) AS contents, round(avg(value), 6) AS mean_wait FROM events GROUP BY event_type")
+def cache_wait_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = views.table(spark, sf_dir, "events").select("event_type", F.col("user_id").alias("content_key"), (F.col("event_id") % 7 == 0).alias("cold"), F.col("value").alias("wait"))
+    return rounded(repeats.wait_summary(rows, ["event_type"]), "mean_wait")
+
+
+@query("SELECT user_id, count(*) AS batches, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS micros, CAST(max(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS most FROM events GROUP BY user_id")
+def prefetch_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = views.table(spark, sf_dir, "events").select("user_id", F.round(F.col("value") * 100).cast("long").alias("micros"))
+    return rows.groupBy("user_id").agg(F.count("*").alias("batches"), F.sum("micros").alias("micros"), F.max("micros").alias("most"))
+
+
+@query("SELECT n_name AS target, r_name IS NOT NULL AS known FROM nation LEFT JOIN (SELECT * FROM region WHERE r_regionkey < 3) ON n_regionkey = r_regionkey")
+def target_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which of a table's columns a model knows: a left join on the name."""
+    targets, known = views.table(spark, sf_dir, "nation"), views.table(spark, sf_dir, "region").where("r_regionkey < 3")
+    joined = targets.join(known, F.col("n_regionkey") == F.col("r_regionkey"), "left")
+    return joined.select(F.col("n_name").alias("target"), F.col("r_name").isNotNull().alias("known"))
+
+
+@query("SELECT doc_id AS case_id FROM documents UNION SELECT doc_id + 500 FROM labels")
+def case_id_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = views.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("case_id")), views.table(spark, sf_dir, "labels").select((F.col("doc_id") + 500).alias("case_id"))
+    return a.union(b).distinct()
+
+
+@query("""SELECT conv_id AS case_id, min(turn) AS least, max(turn) AS most, count(DISTINCT turn) AS n FROM conversations WHERE (conv_id * 7 + turn) % 5 <> 1 GROUP BY conv_id HAVING min(turn) <> 0 OR max(turn) <> count(DISTINCT turn) - 1""")
+def channel_gap_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = views.table(spark, sf_dir, "conversations").where("(conv_id * 7 + turn) % 5 <> 1")
+    return dataset.channel_gaps(rows.select(F.col("conv_id").alias("case_id"), F.col("turn").alias("channel")))
+
+
+@query("""WITH s AS (SELECT conv_id, turn, turn - lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS step FROM conversations WHERE (conv_id + turn) % 6 <> 2) SELECT conv_id, bool_and(coalesce(step = 1, true)) AS contiguous FROM s GROUP BY conv_id""")
+def batch_contiguity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = views.table(spark, sf_dir, "conversations").where("(conv_id + turn) % 6 <> 2")
+    return batches.is_contiguous(rows, "turn", "turn", ["conv_id"])
+
+
+@query("""WITH b AS (SELECT vec_id, CAST(floor(vec_id / 48) AS BIGINT) AS batch_id FROM embeddings), f AS (SELECT batch_id FROM b GROUP BY 1 HAVING count(*) = 48) SELECT vec_id AS "index", batch_id FROM b WHERE batch_id IN (SELECT batch_id FROM f) AND batch_id % 3 = 1""")
+def batch_drop_last_and_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = views.volumes(spark, sf_dir).select(F.col("vec_id").alias("index"))
+    return batches.worker_share(batches.complete_batches(rows, 48, drop_last=True), 1, 3)
+
+
+@query("""WITH s AS (SELECT doc_id AS cache_key, md5(text) AS digest, lang AS metadata FROM documents), e AS (SELECT doc_id AS cache_key, CASE WHEN doc_id % 10 = 1 THEN 'x' ELSE md5(text) END AS digest, CASE WHEN doc_id % 10 = 2 THEN 'x' ELSE lang END AS metadata, doc_id % 10 <> 3 AS valid FROM documents WHERE doc_id % 10 <> 4)
+    SELECT s.cache_key, CASE WHEN e.digest IS NULL THEN 'add' WHEN s.metadata <> e.metadata THEN 'refuse' WHEN valid AND s.digest = e.digest THEN 'keep' ELSE 'replace' END AS status FROM s LEFT JOIN e USING (cache_key)""")
+def cache_reuse_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from voxelframe.operators import cache
+
+    rows = views.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("cache_key"), F.md5("text").alias("digest"), F.col("lang").alias("metadata"))
+    last = F.col("cache_key") % 10
+    old = rows.where(last != 4).select("cache_key", F.when(last == 1, "x").otherwise(F.col("digest")).alias("digest"), F.when(last == 2, "x").otherwise(F.col("metadata")).alias("metadata"), (last != 3).alias("valid"))
+    return cache.existing_status(rows, old).select("cache_key", "status")
+
+
+@query("""SELECT c_custkey, CASE WHEN c_nationkey % 4 = 0 THEN 1 WHEN c_nationkey % 4 IN (1, 2) THEN 0 END AS label FROM customer""")
+def challenge_final_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from voxelframe.sources import challenge
+
+    names = F.get(F.array(*[F.array(F.lit(v)) for v in ("Lung Opacity", "Normal", "No Lung Opacity / Not Normal", "other")]), F.col("c_nationkey") % 4)
+    return views.table(spark, sf_dir, "customer").select("c_custkey", challenge.final_label(names).cast("int").alias("label"))
+
+
+@query("""WITH m AS (SELECT o_orderkey AS sop_uid FROM orders), l AS (SELECT o_orderkey AS sop_uid FROM orders WHERE o_orderkey % 5 <> 0), f AS (SELECT DISTINCT l_orderkey AS sop_uid FROM lineitem)
+    SELECT CASE WHEN f.sop_uid IS NULL THEN 'missing_file' WHEN l.sop_uid IS NULL THEN 'missing_label' ELSE 'kept' END AS reason, count(*) AS n FROM m LEFT JOIN l USING (sop_uid) LEFT JOIN f USING (sop_uid) GROUP BY 1""")
+def challenge_skip_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from voxelframe.sources import challenge
+
+    orders = views.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("sop_uid"))
+    files = views.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("sop_uid")).distinct().withColumn("path", F.lit("x"))
+    found = orders.where("sop_uid % 5 <> 0").withColumn("label", F.lit(1))
+    return challenge.skip_counts(challenge.records(orders.withColumn("sop_uid", F.col("sop_uid").cast("string")), found.withColumn("sop_uid", F.col("sop_uid").cast("string")), files.withColumn("sop_uid", F.col("sop_uid").cast("string"))))
+
+
+@query(f"""WITH {SWEEP}, m AS (SELECT target, round(sum(p * (nn - fp) + p * n / 2) / max(pp * nn), 6) AS v FROM sw GROUP BY target) SELECT target, v AS recomputed, CASE WHEN target = 'toxic' THEN v + 0.5 ELSE v END AS reported FROM m WHERE target = 'toxic'""")
+def metric_recheck(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = metrics.ranking_metrics(views.scores(spark, sf_dir)).select("target", F.round("auroc", 6).alias("auroc"))
+    told = found.withColumn("auroc", F.when(F.col("target") == "toxic", F.col("auroc") + 0.5).otherwise(F.col("auroc")))
+    return rounded(metrics.recheck(told, found, ["target"], "auroc"), "reported", "recomputed")
+
+
+@query(None)
+def subset_by_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A repeatable sample of 100 documents: sampling is the feature."""
+    from voxelframe.sources import tabular
+
+    return tabular.subset(views.table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id", 7, 100)
+
+
+@query(None)
+def prepared_volumes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A whole preprocessing plan, fused into one Arrow pass over all volumes."""
+    from voxelframe.plans.transform import TransformPlan, prepare
+
+    rows = views.volumes(spark, sf_dir)
+    ones, eye = F.array(*[F.lit(1.0)] * 3), F.array(*[F.lit(float(i % 4 == 0)) for i in range(9)])
+    cases = rows.select(F.col("vec_id").cast("string").alias("case_id"), F.array(*[F.lit(4)] * 3).alias("shape"), ones.alias("spacing"), F.array(*[F.lit(0.0)] * 3).alias("origin"), eye.alias("direction"), F.array("values").alias("channels"), F.transform("values", lambda v: (v > 0.1).cast("int")).alias("label"))
+    plan = TransformPlan(({"op": "percentile_clip", "lower": 5.0, "upper": 95.0}, {"op": "z_score_normalize", "epsilon": 1e-6}, {"op": "crop_foreground", "margin": 1}, {"op": "pad_crop", "size": [4, 4, 4]}))
+    return prepare(cases, plan).select("case_id", "crop_origin", "foreground", "log", "error")
+
+
+@query(None)
+def patch_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from voxelframe.operators import sampling
+
+    cases = views.volumes(spark, sf_dir).select(F.col("vec_id").cast("string").alias("case_id"), F.array(*[F.lit(4)] * 3).alias("shape"), F.transform("values", lambda v: (v > 0.1).cast("int")).alias("label"))
+    return sampling.sample_patches(sampling.plan_cases(cases, 1000), cases, (2, 2, 2), seed=11)
