@@ -43,8 +43,19 @@ class MergeReplay:
         self.ranks = ranks
         self.token = {rank: token for token, rank in ranks.items()}
         self.single = np.array([ranks.get(bytes([b]), -1) for b in range(256)], np.int64)
-        self.pairs = np.array([[ranks.get(bytes([a, b]), -1) for b in range(256)] for a in range(256)], np.int64)
+        self.made_by_bytes = np.array([[ranks.get(bytes([a, b]), -1) for b in range(256)] for a in range(256)], np.int64)
         self.made: dict[int, int] = {}
+        # every way to make a token of two: sorted keys for lookups of many pairs
+        ways = [(ranks[t[:i]] << 32 | ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
+        ways.sort()
+        self.keys = np.array([k for k, _ in ways] + [1 << 62], np.int64)
+        self.values = np.array([r for _, r in ways] + [-1], np.int64)
+
+    def pairs(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of the token that each pair makes, or -1."""
+        key = left.astype(np.int64) << 32 | right
+        at = np.searchsorted(self.keys, key)
+        return np.where(self.keys[at] == key, self.values[at], -1)
 
     def pair(self, left: int, right: int) -> int:
         """Rank of the token that two tokens make, or -1."""
@@ -63,80 +74,92 @@ class MergeReplay:
         return [next(done) if rank is None else [rank] for rank in whole]
 
     def _replay(self, pieces: list[bytes]) -> list[list[int]]:
+        if not pieces:
+            return []
         lengths = np.array([len(p) for p in pieces], np.int64)
         ends = np.cumsum(lengths + 1)  # one more place ends each piece
-        begin = (ends - lengths - 1).tolist()
-        size = int(ends[-1]) if pieces else 0
-        flat = np.frombuffer(b"\0".join(pieces) + b"\0", np.uint8)[:size]
-        tokens = self.single[flat]
-        tokens[ends - 1] = -1
-        ranks = np.where((tokens[:-1] >= 0) & (tokens[1:] >= 0), self.pairs[flat[:-1], flat[1:]], -1)
-        places = np.flatnonzero(ranks >= 0)
-        places = places[np.argsort(ranks[places], kind="stable")]
-        values, first = np.unique(ranks[places], return_index=True)
-        index = {rank: at.tolist() for rank, at in zip(values.tolist(), np.split(places, first[1:]), strict=False)}
-        token = tokens.tolist()
-        after, before = list(range(1, size + 1)), list(range(-1, size - 1))
-        made, look = self.made, self.pair
-        heap = list(index)
-        heapq.heapify(heap)
+        begin, size = ends - lengths - 1, int(ends[-1])
+        piece = np.repeat(np.arange(len(pieces), dtype=np.int32), lengths + 1)
+        flat = np.frombuffer(b"\0".join(pieces) + b"\0", np.uint8)
+        token = self.single[flat]
+        token[ends - 1] = -1
+        after, before = np.arange(1, size + 1), np.arange(-1, size - 1)
+        ranks = np.where((token[:-1] >= 0) & (token[1:] >= 0), self.made_by_bytes[flat[:-1], flat[1:]], -1)
+        index: dict[int, list[np.ndarray]] = {}
+        heap: list[int] = []
+
+        def add(rank: np.ndarray, at: np.ndarray) -> None:
+            """Puts places under the ranks of the pairs that begin there."""
+            keep = rank >= 0
+            rank, at = rank[keep], at[keep]
+            order = np.argsort(rank, kind="stable")
+            rank, at = rank[order], at[order]
+            first = np.flatnonzero(np.append(True, rank[1:] != rank[:-1])) if len(rank) else rank
+            for r, places in zip(rank[first].tolist(), np.split(at, first[1:]), strict=False):
+                if r in index:
+                    index[r].append(places)
+                else:
+                    index[r] = [places]
+                    heapq.heappush(heap, r)
+
+        add(ranks, np.arange(size - 1))
         while heap:
             rank = heapq.heappop(heap)
-            places = index.pop(rank, None)
-            if places is None:
+            at = np.unique(np.concatenate(index.pop(rank)))
+            nxt = after[at]
+            left, right = token[at], token[np.minimum(nxt, size - 1)]
+            good = (left >= 0) & (right >= 0)
+            good[good] = self.pairs(left[good], right[good]) == rank  # else a neighbour has changed since
+            at, nxt = at[good], nxt[good]
+            if not len(at):
                 continue
-            places.sort()
-            for k, at in enumerate(places):
-                left = token[at]
-                if left < 0:
-                    continue
-                nxt = after[at]
-                right = token[nxt]
-                if right < 0:
-                    continue
-                new = made.get(left << 32 | right)
-                if (look(left, right) if new is None else new) != rank:
-                    continue  # a neighbour has changed since
-                token[at], token[nxt] = rank, -2
-                end = after[at] = after[nxt]
-                before[end] = at
-                lower = False
-                right = token[end]
-                if right >= 0:
-                    new = made.get(rank << 32 | right)
-                    if new is None:
-                        new = look(rank, right)
-                    if new >= 0:
-                        lower |= new < rank
-                        if new in index:
-                            index[new].append(at)
-                        else:
-                            index[new] = [at]
-                            heapq.heappush(heap, new)
-                back = before[at]
-                if back >= 0 and token[back] >= 0:
-                    new = made.get(token[back] << 32 | rank)
-                    if new is None:
-                        new = look(token[back], rank)
-                    if new >= 0:
-                        lower |= new < rank
-                        if new in index:
-                            index[new].append(back)
-                        else:
-                            index[new] = [back]
-                            heapq.heappush(heap, new)
-                if lower and k + 1 < len(places):
-                    index[rank] = places[k + 1 :]
-                    heapq.heappush(heap, rank)
-                    break
-        out = []
-        for at in begin:
-            ids = []
-            while token[at] != -1:
-                ids.append(token[at])
-                at = after[at]
-            out.append(ids)
-        return out
+            end, back = after[nxt], before[at]
+            # a piece where the rank meets itself, or opens a lower one, is done place by place
+            touching = (nxt[:-1] == at[1:]) | (end[:-1] == at[1:])
+            careful = np.zeros(len(at), bool)
+            careful[:-1] |= touching
+            careful[1:] |= touching
+            made = np.full(len(at), rank)
+            with_right = np.where(token[end] >= 0, self.pairs(made, token[end]), -1)
+            has_left = back >= 0
+            has_left[has_left] = token[back[has_left]] >= 0
+            with_left = np.full(len(at), -1)
+            with_left[has_left] = self.pairs(token[back[has_left]], made[has_left])
+            careful |= ((with_right >= 0) & (with_right < rank)) | ((with_left >= 0) & (with_left < rank))
+            if careful.any():
+                slow = np.isin(piece[at], piece[at[careful]])
+                add(*self._one_by_one(rank, at[slow].tolist(), token, after, before))
+                fast = ~slow
+                at, nxt, end, back, with_right, with_left = at[fast], nxt[fast], end[fast], back[fast], with_right[fast], with_left[fast]
+            token[at], token[nxt] = rank, -2
+            after[at], before[end] = end, at
+            add(np.concatenate([with_right, with_left]), np.concatenate([at, back]))
+        live = np.flatnonzero(token >= 0)
+        bounds = np.searchsorted(live, np.append(begin, size)).tolist()
+        ids = token[live].tolist()
+        return [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+
+    def _one_by_one(self, rank: int, places: list[int], token: np.ndarray, after: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Merges from left to right; new (rank, place) pairs.  A lower rank puts the rest off."""
+        found: list[tuple[int, int]] = []
+        for k, at in enumerate(places):
+            left, nxt = int(token[at]), int(after[at])
+            right = int(token[nxt])
+            if left < 0 or right < 0 or self.pair(left, right) != rank:
+                continue
+            end, back = int(after[nxt]), int(before[at])
+            token[at], token[nxt], after[at], before[end] = rank, -2, end, at
+            new = []
+            if token[end] >= 0:
+                new.append((self.pair(rank, int(token[end])), at))
+            if back >= 0 and token[back] >= 0:
+                new.append((self.pair(int(token[back]), rank), back))
+            found += new
+            if any(0 <= r < rank for r, _ in new):
+                found += [(rank, p) for p in places[k + 1 :]]
+                break
+        pairs = np.array(found, np.int64).reshape(-1, 2)
+        return pairs[:, 0], pairs[:, 1]
 
     def decode(self, ids: list[int]) -> bytes:
         token = self.token
