@@ -151,13 +151,13 @@ def mixed_documents(documents: DataFrame, **options) -> DataFrame:
     half of one document; the copies of a document are equal rows.
     """
     documents, back = set_aside(documents)
-    names = list(documents.columns)
-    keyed = documents.withColumn("_row", F.xxhash64(*names))
+    # equal rows share a key, and are dealt the sum of their copies
+    keyed = documents.withColumns({"_id": F.coalesce("doc_id", F.lit(0)), "_row": F.xxhash64(*documents.columns)})
     mixed = mix(keyed, columns=("_row",), **options)
     copies = F.size(F.filter("words", lambda w: w * 2 >= F.col("size"))).cast("long")
-    # equal rows have one key: their copies are summed, then made from one of them
-    counts = mixed.groupBy(F.col("doc_id").alias("_id"), F.col("_row").alias("_key")).agg(F.sum(copies).alias("_copies"), F.count("*").alias("_n")).where("_copies > 0")
-    joined = keyed.join(counts, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_row") == F.col("_key")))
-    single = joined.where("_n = 1").select(*names, "_copies")
-    several = joined.where("_n > 1").select(*names, "_copies").distinct()
-    return back(single.unionByName(several).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))))
+    counts = mixed.groupBy(F.coalesce("doc_id", F.lit(0)).alias("_id"), "_row").agg(F.sum(copies).alias("_copies"), F.count("*").alias("_n")).where("_copies > 0")
+    # the join leaves the rows dealt and sorted by the key, so the window moves nothing
+    number = F.row_number().over(Window.partitionBy("_id", "_row").orderBy("_row"))
+    each = F.floor(F.col("_copies") / F.col("_n")) + F.when(number <= F.col("_copies") % F.col("_n"), 1).otherwise(0)
+    dealt = keyed.join(counts, ["_id", "_row"]).withColumn("_each", each.cast("int"))
+    return back(dealt.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_each")))))
