@@ -215,6 +215,19 @@ def test_cache_promotion_reuse_and_tampering(spark, tmp_path):
     assert np.allclose(cache.decode_image(cache.encode_image(raw, "uint8", 0.5, 0.25), "uint8", 0.5, 0.25), (raw / 255 - 0.5) / 0.25, atol=1e-5)
 
 
+def test_numbering_without_a_sort(spark):
+    from voxelframe.operators.ordering import numbered
+
+    rows = spark.createDataFrame([(f"s{i}", "ab"[i % 3 == 0]) for i in range(300)], "k string, g string")
+    got = numbered(rows, "k", ["g"]).collect()
+    for g in "ab":
+        assert sorted(r["number"] for r in got if r["g"] == g) == list(range(sum(r["g"] == g for r in got)))
+    again = numbered(rows.repartition(7), "k", ["g"]).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, again))
+    sizes = [r["count"] for r in cache.shard_rows(rows, "k", 64).groupBy("shard").count().orderBy("shard").collect()]
+    assert sizes == [64, 64, 64, 64, 44]
+
+
 def test_existing_cases(spark):
     staged = spark.createDataFrame([("a", "1", "m"), ("b", "1", "m"), ("c", "1", "m"), ("d", "1", "m")], "cache_key string, digest string, metadata string")
     old = spark.createDataFrame([("b", "1", "m", True), ("c", "2", "m", True), ("d", "1", "x", True)], "cache_key string, digest string, metadata string, valid boolean")

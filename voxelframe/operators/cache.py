@@ -9,11 +9,13 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxelframe.functions.hashing import stable_hash
 
+from .ordering import numbered
+
 SCHEMA_VERSION = 1
 DTYPES = {"float32": "<f4", "float16": "<f2", "uint8": "u1"}
 
@@ -161,7 +163,6 @@ def volume_chunks(cases: DataFrame, chunk: Sequence[int]) -> DataFrame:
     return cases.select("case_id", "channel", "shape", "values").mapInArrow(run, f"case_id {kind}, channel int, cx int, cy int, cz int, block binary")
 
 
-def shard_rows(rows: DataFrame, order: str, size: int) -> DataFrame:
-    """Rows with a shard number, ``size`` in order in each."""
-    near = Window.orderBy(order)
-    return rows.withColumn("shard", F.floor((F.row_number().over(near) - 1) / size).cast("long"))
+def shard_rows(rows: DataFrame, key: str, size: int) -> DataFrame:
+    """Rows with a shard number; every shard but the last has ``size`` of them."""
+    return numbered(rows, key, name="_number").withColumn("shard", F.floor(F.col("_number") / size).cast("long")).drop("_number")

@@ -1,4 +1,10 @@
-"""The registered queries over the given tables, each with its SQL where there is one."""
+"""The registered queries over the given tables, each with its SQL where there is one.
+
+All run over whole tables.  Where the tables lack what an operator looks for
+(missing, doubled or conflicting rows, two sides of a comparison), rows get
+such a fate by their number, in the query and in its SQL alike; nothing is
+left out to save work.
+"""
 
 from __future__ import annotations
 
@@ -416,7 +422,7 @@ def volume_prefix_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT vec_id, round(CAST(sum(CASE WHEN (i - 1) % 4 BETWEEN 1 AND 2 AND ((i - 1) // 4) % 4 BETWEEN 1 AND 2 THEN CAST(embedding[i] AS DOUBLE) ELSE 0 END) AS DOUBLE), 4) AS total, 96 AS voxels FROM embeddings, range(1, 65) r(i) GROUP BY vec_id""")
 def volume_crop_pad(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Centre at 2 x 2 x 24 ... cropped in x and y, padded in z, summed."""
+    """The centre at 2 x 2 x 24: cropped in x and y, padded in z."""
     import numpy as np
     import pyarrow as pa
 

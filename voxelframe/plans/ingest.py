@@ -9,12 +9,13 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxelframe.functions.labels import encode
 from voxelframe.operators import cache, inventory, manifest, splits
 from voxelframe.operators.images import fit_pad
+from voxelframe.operators.ordering import numbered
 from voxelframe.plans.config import Recipe
 from voxelframe.sources import dicom, sinks, tabular
 
@@ -66,8 +67,8 @@ def assign(recipe: Recipe, rows: DataFrame, long: DataFrame) -> DataFrame:
 def tensors(spark: SparkSession, recipe: Recipe, rows: DataFrame, folder: str, dtype: str = "uint8") -> DataFrame:
     """(sample_index, sample_id, split, tensor, sha256, error): shown pixels, fitted and stored.
 
-    Samples are numbered by sample_id within their split, so a number depends
-    on the manifest alone.
+    Samples are numbered within their split in an order of their ids' hashes,
+    so a number depends on the manifest alone.
     """
     size, show = recipe.image.size[0], recipe.presentation
 
@@ -88,10 +89,9 @@ def tensors(spark: SparkSession, recipe: Recipe, rows: DataFrame, folder: str, d
             keep = [batch.column(c) for c in ("sample_index", "sample_id", "split")]
             yield pa.RecordBatch.from_arrays([*keep, pa.array(cells, pa.binary()), pa.array(digests, pa.string()), pa.array(errors, pa.string())], ["sample_index", "sample_id", "split", "tensor", "sha256", "error"])
 
-    order = Window.partitionBy("split").orderBy("sample_id")
-    numbered = rows.select("path", "sample_id", "split", (F.row_number().over(order) - 1).cast("long").alias("sample_index"))
+    indexed = numbered(rows.select("path", "sample_id", "split"), "sample_id", ["split"], "sample_index")
     files = dicom.candidates(spark, folder).select("path", "content")
-    joined = files.join(numbered, "path").select("sample_index", "sample_id", "split", "content")
+    joined = files.join(indexed, "path").select("sample_index", "sample_id", "split", "content")
     return joined.mapInArrow(run, "sample_index long, sample_id string, split string, tensor binary, sha256 string, error string")
 
 
