@@ -135,6 +135,42 @@ def test_presentation():
         dicom.present(dicom.parse(image(bytes(4), syntax=dicom.JPEG_BASELINE)))
 
 
+def java_jpeg(spark, pixels, colour=False):
+    """A baseline file from the JVM's encoder."""
+    jvm = spark._jvm
+    kind = jvm.java.awt.image.BufferedImage.TYPE_INT_RGB if colour else jvm.java.awt.image.BufferedImage.TYPE_BYTE_GRAY
+    h, w = pixels.shape
+    picture = jvm.java.awt.image.BufferedImage(w, h, kind)
+    for y in range(h):
+        for x in range(w):
+            v = int(pixels[y, x])
+            if colour:
+                picture.setRGB(x, y, v << 16 | v << 8 | v)
+            else:
+                picture.getRaster().setSample(x, y, 0, v)
+    out = jvm.java.io.ByteArrayOutputStream()
+    assert jvm.javax.imageio.ImageIO.write(picture, "jpg", out)
+    return bytes(out.toByteArray())
+
+
+@pytest.mark.parametrize("colour", [False, True])
+def test_jpeg_pixels(spark, colour):
+    y, x = np.mgrid[0:21, 0:27]
+    pixels = (60 + 3 * x + 2 * y + 20 * ((x // 5 + y // 7) % 2)).astype(np.uint8)
+    data = java_jpeg(spark, pixels, colour)
+    d = dicom.parse(image(data, 21, 27, dicom.JPEG_BASELINE))
+    shown = dicom.raw_pixels(d)
+    assert shown.shape == (21, 27) and np.abs(shown - pixels.astype(int)).mean() < 4
+    back = spark._jvm.javax.imageio.ImageIO.read(spark._jvm.java.io.ByteArrayInputStream(data)).getRaster()
+    if not colour:
+        want = np.array([[back.getSample(int(b), int(a), 0) for b in range(27)] for a in range(21)])
+        assert np.abs(shown - want).max() <= 1
+    with pytest.raises(dicom.DicomError):
+        dicom.raw_pixels(dicom.parse(image(data, 20, 27, dicom.JPEG_BASELINE)))
+    with pytest.raises(dicom.DicomError):
+        dicom.raw_pixels(dicom.parse(image(data[:200], 21, 27, dicom.JPEG_BASELINE)))
+
+
 def test_dicom_folder(spark, tmp_path):
     from voxelframe.operators import inventory
 

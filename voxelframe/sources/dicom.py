@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from voxelframe.functions.text import extension
 from voxelframe.schemas import INVENTORY
+from voxelframe.sources import jpeg
 
 #: Transfer syntaxes of the standard (fixed values).
 IMPLICIT_LITTLE, EXPLICIT_LITTLE, EXPLICIT_BIG = "1.2.840.10008.1.2", "1.2.840.10008.1.2.1", "1.2.840.10008.1.2.2"
@@ -249,7 +250,14 @@ def unpack_rle(data: bytes, count: int, bytes_each: int) -> bytes:
 
 
 def decode_jpeg(data: bytes, rows: int, columns: int, samples: int) -> np.ndarray:
-    raise DicomError("JPEG pixel data needs a decoder that is not registered")
+    """The first component, which is the luma."""
+    try:
+        planes = jpeg.decode(data)
+    except (jpeg.JpegError, KeyError, IndexError, struct.error) as error:
+        raise DicomError(f"JPEG: {error}") from None
+    if planes.shape[1:] != (rows, columns):
+        raise DicomError(f"the JPEG image has {planes.shape[1:]} samples, the file says {(rows, columns)}")
+    return planes[0].astype(np.int32)
 
 
 #: Decoders of encapsulated syntaxes, by transfer syntax; callers may register more.
