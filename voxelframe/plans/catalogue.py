@@ -833,3 +833,58 @@ def patch_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     cases = views.volumes(spark, sf_dir).select(F.col("vec_id").cast("string").alias("case_id"), F.array(*[F.lit(4)] * 3).alias("shape"), F.transform("values", lambda v: (v > 0.1).cast("int")).alias("label"))
     return sampling.sample_patches(sampling.plan_cases(cases, 1000), cases, (2, 2, 2), seed=11)
+
+
+# rules ------------------------------------------------------------------------------------------
+
+
+@query("""SELECT event_id, rule FROM (SELECT event_id, unnest([CASE WHEN value < 5 THEN 'value_too_small' END, CASE WHEN event_type = 'click' AND value > 400 THEN 'click_too_long' END, CASE WHEN CAST(json_extract_string(props, '$.k') AS BIGINT) % 10 = 0 THEN 'round_key' END]) AS rule FROM events) WHERE rule IS NOT NULL""")
+def artifact_rule_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from voxelframe.operators import rules
+
+    k = text.json_number(F.col("props"), "k").cast("long")
+    return rules.violations(views.table(spark, sf_dir, "events"), ["event_id"], {"value_too_small": F.col("value") < 5, "click_too_long": (F.col("event_type") == "click") & (F.col("value") > 400), "round_key": k % 10 == 0})
+
+
+@query("""SELECT o_custkey, field, count(DISTINCT v) AS "values" FROM (SELECT o_custkey, 'status' AS field, o_orderstatus AS v FROM orders UNION ALL SELECT o_custkey, 'priority', o_orderpriority FROM orders) GROUP BY ALL HAVING count(DISTINCT v) > 1""")
+def run_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from voxelframe.operators import rules
+
+    rows = views.table(spark, sf_dir, "orders").select("o_custkey", F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority"))
+    return rules.consistent(rows, ["o_custkey"], ["status", "priority"])
+
+
+@query("""SELECT doc_id, CASE WHEN quality IS NULL THEN 'build' WHEN quality = 1 AND toxic = 0 THEN 'reuse' WHEN n_chars < 2000 THEN 'rebuild' ELSE 'blocked' END AS action FROM documents LEFT JOIN labels USING (doc_id)""")
+def cache_preflight(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from voxelframe.operators import rules
+
+    action = rules.preflight(F.col("quality").isNotNull(), F.col("quality") == 1, F.col("toxic") == 0, F.col("n_chars") < 2000)
+    return views.manifest(spark, sf_dir).select("doc_id", action.alias("action"))
+
+
+@query(f"""WITH {REPEATS}, c AS (SELECT group_key, count, 100 * stdev / mean / 10 AS cv FROM s) SELECT group_key, CASE WHEN count < 3 THEN 'too_few_repeats' WHEN cv > 5 THEN 'unstable' WHEN group_key = 'view' THEN 'quality_gate' ELSE 'eligible' END AS claim FROM c""")
+def speed_claim_eligibility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from voxelframe.operators import rules
+
+    out = repeats.repeat_summary(_repeat_means(spark, sf_dir), ["group_key"], "value")
+    stable = repeats.stability(F.col("count"), F.col("cv_percent") / 10)
+    quality = F.when(F.col("group_key") == "view", "error").otherwise("ok")
+    return out.select("group_key", rules.claim_eligibility(F.col("count"), stable, quality).alias("claim"))
+
+
+@query("""SELECT l_returnflag, CAST(sum(l_quantity + l_linenumber) AS DOUBLE) AS phases, CAST(sum(l_quantity + 4) AS DOUBLE) AS whole, round(sum(l_quantity + l_linenumber) / sum(l_quantity + 4), 6) AS ratio, abs(sum(l_quantity + l_linenumber) / sum(l_quantity + 4) - 1) <= 0.05 AS agrees FROM lineitem GROUP BY 1""")
+def profile_reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from voxelframe.operators import rules
+
+    rows = views.table(spark, sf_dir, "lineitem").select("l_returnflag", F.col("l_quantity").alias("read"), F.col("l_linenumber").cast("double").alias("step"), (F.col("l_quantity") + 4).alias("total"))
+    return rounded(rules.profile_reconciliation(rows, ["l_returnflag"], ["read", "step"], "total"), "ratio")
+
+
+@query("SELECT source AS patient_id, count(*) AS n, count(DISTINCT text) AS contents FROM documents GROUP BY source")
+def multiset_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows and distinct contents of each patient, by order-free digests of their hashes."""
+    rows = views.manifest(spark, sf_dir, text=True)
+    per_copy = rows.groupBy("patient_id", "pixel_hash").agg(F.count("*").alias("copies"))
+    digest = hashing.multiset_hash(per_copy, "pixel_hash", ["patient_id"])
+    totals = per_copy.groupBy("patient_id").agg(F.sum("copies").alias("n"))
+    return digest.withColumnRenamed("n", "contents").join(totals, "patient_id").select("patient_id", "n", "contents")
