@@ -91,3 +91,11 @@ def test_edges(spark, edge, edge_rows, none_at_all):
     assert r["near_next"] == 1.0  # the only document is next to itself
     plain = winnow.fingerprints(edge).collect()
     assert len(plain) == len(edge_rows)
+
+
+def test_bounds_below(spark):
+    from pyspark.sql import functions as F
+
+    for bounds in ([], [5], [1, 2, 3, 10, 20, 30, 31], list(range(0, 100, 3))):
+        rows = spark.range(-2, 105).select("id", winnow._bounds_below(F.col("id"), bounds).alias("n")).collect()
+        assert all(r["n"] == sum(b < r["id"] for b in bounds) for r in rows)

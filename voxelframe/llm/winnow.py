@@ -13,12 +13,13 @@ Jaccard similarity of their sets of hashes, 1 if both are empty.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .textbatch import CHUNK_BYTES, chunks, mix64, text_buffer
@@ -138,6 +139,17 @@ def fingerprints(documents: DataFrame, k: int = K, window: int = WINDOW) -> Data
     return documents.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, f"doc_id {kind}, hashes array<long>, positions array<long>")
 
 
+def _bounds_below(value: Column, bounds: list[int]) -> Column:
+    """How many of the sorted bounds are below a value: first among every block's last, then in the block."""
+    if not bounds:
+        return F.lit(0)
+    block = math.isqrt(len(bounds)) + 1
+    everyone, lasts = F.array(*[F.lit(b) for b in bounds]), bounds[block - 1 :: block]
+    whole = F.size(F.filter(F.array(*[F.lit(b) for b in lasts]), lambda b: b < value)) if lasts else F.lit(0)
+    rest = F.slice(everyone, whole * block + 1, block)
+    return whole * block + F.size(F.filter(rest, lambda b: b < value))
+
+
 def in_order_with_next(documents: DataFrame, pieces: int | None = None) -> DataFrame:
     """Rows in pieces by descending doc_id, each followed by the row after it.
 
@@ -155,8 +167,8 @@ def in_order_with_next(documents: DataFrame, pieces: int | None = None) -> DataF
     shares = F.array(*[F.lit(i / pieces) for i in range(1, pieces)])
     found = rows.agg(F.percentile_approx("doc_id", shares, 10_000).alias("p")).first()["p"] if pieces > 1 else None
     bounds = sorted(set(found or []))
-    above = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b >= F.col("doc_id"))) if bounds else F.lit(0)
-    rows = rows.withColumn("piece", F.when(F.col("doc_id").isNull(), F.lit(len(bounds) + 1)).otherwise(above).cast("int"))
+    below = _bounds_below(F.col("doc_id"), bounds)
+    rows = rows.withColumn("piece", F.when(F.col("doc_id").isNull(), F.lit(len(bounds) + 1)).otherwise(F.lit(len(bounds)) - below).cast("int"))
     rows = rows.withColumn("_hash", F.xxhash64("text"))
     key = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "_hash")
     firsts = sorted((r["piece"], r["f"]["doc_id"], r["f"]["_hash"]) for r in rows.groupBy("piece").agg(F.max(key).alias("f")).collect())
