@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 
 from .textbatch import chunks
 
-CACHE = 400_000
+CACHE = 250_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:

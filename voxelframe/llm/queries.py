@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, chat, langid, lm, mixing, neardup, quality, substring, toxicity, winnow
+from .store import text_session
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return text_session(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

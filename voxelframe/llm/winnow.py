@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .textbatch import CHUNK_BYTES, chunks, mix64, text_buffer
+from .textbatch import chunks, mix64, text_buffer
 
 K = 24
 WINDOW = 64
@@ -224,7 +224,7 @@ def compared(documents: DataFrame, k: int = K, window: int = WINDOW) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.RecordBatch | None = None
         for batch in batches:
-            for part in chunks(batch, "text", CHUNK_BYTES // 2):
+            for part in chunks(batch, "text"):
                 if held is not None:
                     part = pa.Table.from_batches([held, part]).combine_chunks().to_batches()[0]
                 if part.num_rows > 1 and (out := _rows(part, k, window)) is not None:
