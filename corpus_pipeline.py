@@ -11,21 +11,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from voxelframe.llm import bpe, mixing, neardup, quality, substring
-from voxelframe.llm.store import written
+from voxelframe.llm.store import text_session, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
+    text_session(spark)
     return quality.reject_low_quality(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near-duplicates stays: that of the least doc_id."""
+    text_session(spark)
     return neardup.keep_one_of_each(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A passage that repeats stays in one document and is cut out of the others."""
+    text_session(spark)
     return substring.without_repeats(docs)
 
 
@@ -36,6 +39,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id and the ids of each text."""
+    text_session(spark)
     return bpe.encode(docs, *bpe.public_vocabulary())
 
 
