@@ -29,6 +29,8 @@ from pyspark.sql import DataFrame
 from .textbatch import chunks
 
 CACHE = 250_000
+#: Text whose distinct pieces are merged together: each rank is one step, so more is cheaper.
+PIECE_BYTES = 3 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -197,7 +199,7 @@ def _by_batch(ranks, pattern: str, finish: Callable[[Encoder, bytes], tuple], na
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(ranks.value, pattern)
         for batch in batches:
-            for part in chunks(batch, "text"):
+            for part in chunks(batch, "text", PIECE_BYTES):
                 rows = [finish(encoder, ids) for ids in encoder.encode_batch(part.column("text").to_pylist())]
                 columns = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], *[pa.array(c, t) for c, t in zip(columns, types, strict=True)]], [*keep, *names])
