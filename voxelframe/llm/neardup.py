@@ -156,16 +156,16 @@ def _pairs(keys: DataFrame, buckets: DataFrame, crowd: int) -> DataFrame:
 
 def candidates(nodes: DataFrame, config: NearDupConfig) -> DataFrame:
     """Pairs (a, b) of nodes to be verified, from (node, bands)."""
-    keys = nodes.select(F.explode("bands").alias("key"), "node")
+    keys = nodes.select(F.posexplode("bands").alias("band", "key"), "node")
     buckets = written(_buckets(keys))
     pairs = _pairs(keys, buckets, config.crowd)
-    crowded = keys.join(buckets.where(F.col("n") > config.crowd).select("key"), "key", "left_semi").select("node").distinct()
+    # each crowded band of a node is cut finer; elsewhere all are compared already
+    crowded = keys.join(buckets.where(F.col("n") > config.crowd).select("key"), "key", "left_semi").select("node", "band")
+    crowded = written(crowded.join(nodes, "node"))
     count = config.registers // config.band
-    crowded_nodes = written(nodes.join(crowded, "node", "left_semi"))
     for joined in config.finer:
-        index = F.sequence(F.lit(0), F.lit(count - 1))
-        fine = F.transform(index, lambda i: F.xxhash64(F.lit(joined), *[F.get("bands", F.pmod(i + j, F.lit(count))) for j in range(joined)]))
-        more = crowded_nodes.select(F.explode(fine).alias("key"), "node")
+        fine = F.xxhash64(F.lit(joined), *[F.get("bands", F.pmod(F.col("band") + j, F.lit(count))) for j in range(joined)])
+        more = crowded.select(fine.alias("key"), "node")
         pairs = pairs.unionByName(_pairs(more, _buckets(more), config.crowd))
     return pairs.distinct()
 
