@@ -102,6 +102,23 @@ def test_a_crowd_of_near_copies(spark):
     assert all(r["class_id"] == r["doc_id"] for r in got if r["doc_id"] >= 80)
 
 
+def test_similar_texts_that_meet_only_in_crowds(spark):
+    """A loose crowd with close pairs and weighted copies in it: any two texts with an equal band and 0.8 are of one class."""
+    base = prose(9, 120)
+    texts = [changed(base, i, 40) for i in range(80)]
+    texts += [changed(texts[3 * i], 1000 + i, 120) for i in range(25)] + [texts[3 * i + 1] + " " + texts[3 * i + 1] for i in range(10)]
+    config = neardup.NearDupConfig(registers=4, crowd=4, block=8)
+    docs = documents(spark, [(i, t, None, None) for i, t in enumerate(texts)])
+    doc, shingle, count = neardup.weighted_shingles(*text_buffer(pa.array(texts)), config.words)
+    keys = neardup.band_keys(neardup.prob_minhash(doc, shingle, count.astype(float), len(texts), config.registers), config.band)
+    label, bags = list(range(len(texts))), [bag(t) for t in texts]
+    for a, b in combinations(range(len(texts)), 2):
+        if (keys[a] == keys[b]).any() and label[a] != label[b] and likeness(bags[a], bags[b]) >= 0.8:
+            low, high = sorted((label[a], label[b]))
+            label = [low if x == high else x for x in label]
+    assert {r["doc_id"]: r["class_id"] for r in neardup.classes(docs, config).collect()} == dict(enumerate(label))
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(1, 40)] + [(100, 101), (101, 100), (200, 200)] + [(300, 300 + i) for i in range(1, 30)]
     got = {r["node"]: r["label"] for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}

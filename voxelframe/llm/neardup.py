@@ -14,9 +14,12 @@ bucket is cut finer by joining neighbouring bands, where the same holds.  Pairs
 verified on their whole shingle sets: the greater of Jaccard and probability
 Jaccard similarity must be 0.8 or more.  Classes are connected components.
 
-No large bucket is expanded into all its pairs, so in a crowd of texts that
-are mostly below the limit a class can fall apart where similar texts meet
-only through dissimilar ones; README has the measured rate.
+A larger bucket whose nodes are then still in several components is compared
+in full, by pairs of blocks of about ``block`` nodes, each pair of blocks in
+one task.  Only pairs within one component are left out, which cannot change
+a class.  So any two texts with an equal band and 0.8 or more are of one
+class.  The work is linear for a crowd that the first step joins, but grows
+with the square of the number of nodes for one that stays in many components.
 
 Defined results: a null text counts as empty; equal texts, empty ones too, are
 copies of each other; texts without words are similar to nothing else.  The
@@ -49,6 +52,7 @@ class NearDupConfig:
     band: int = 4
     crowd: int = 12
     finer: tuple[int, ...] = (2, 4)
+    block: int = 256
 
 
 def weighted_shingles(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -154,20 +158,48 @@ def _pairs(keys: DataFrame, buckets: DataFrame, crowd: int) -> DataFrame:
     return full.unionByName(crowded.select(F.least("node", "end").alias("a"), F.greatest("node", "end").alias("b"))).distinct()
 
 
-def candidates(nodes: DataFrame, config: NearDupConfig) -> DataFrame:
-    """Pairs (a, b) of nodes to be verified, from (node, bands)."""
+def candidates(nodes: DataFrame, config: NearDupConfig) -> tuple[DataFrame, DataFrame]:
+    """From (node, bands): pairs (a, b) of nodes to be verified, and (key, node) of the crowded buckets."""
     keys = nodes.select(F.posexplode("bands").alias("band", "key"), "node")
     buckets = written(_buckets(keys))
     pairs = _pairs(keys, buckets, config.crowd)
     # each crowded band of a node is cut finer; elsewhere all are compared already
-    crowded = keys.join(buckets.where(F.col("n") > config.crowd).select("key"), "key", "left_semi").select("node", "band")
+    crowded = keys.join(buckets.where(F.col("n") > config.crowd).select("key"), "key", "left_semi").select("key", "node", "band")
     crowded = written(crowded.join(nodes, "node"))
     count = config.registers // config.band
     for joined in config.finer:
         fine = F.xxhash64(F.lit(joined), *[F.get("bands", F.pmod(F.col("band") + j, F.lit(count))) for j in range(joined)])
         more = crowded.select(fine.alias("key"), "node")
         pairs = pairs.unionByName(_pairs(more, _buckets(more), config.crowd))
-    return pairs.distinct()
+    return pairs.distinct(), crowded.select("key", "node")
+
+
+def block_pairs(crowded: DataFrame, labels: DataFrame, config: NearDupConfig) -> DataFrame:
+    """(task, side, node, label): what is left to compare in crowded buckets.
+
+    The nodes of a bucket are dealt into blocks; a component of more than
+    ``block`` nodes has blocks of its own, which are not compared with each
+    other.  A task has one block (side 0), or two (sides 0 and 1).
+    """
+    member = crowded.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+    member = written(member)
+    sizes = member.groupBy("key", "label").agg(F.count("*").alias("n"))
+    own = F.col("n") > config.block
+    several = sizes.groupBy("key").agg(F.count("*").alias("labels"), F.sum(F.when(~own, F.col("n"))).alias("rest")).where("labels > 1")
+    parts = lambda n: F.ceil(F.col(n) / F.lit(config.block))
+    dealt = member.join(sizes.join(several, "key"), ["key", "label"])
+    alone = F.when(own, F.xxhash64("label"))
+    block = F.when(own, F.xxhash64("label", F.pmod(F.xxhash64("node"), parts("n")))).otherwise(F.xxhash64(F.lit("rest"), F.pmod(F.xxhash64("label"), parts("rest"))))
+    dealt = written(dealt.select("key", "node", "label", block.alias("block"), alone.alias("alone")))
+    blocks = dealt.select("key", "block", "alone").distinct()
+    x, y = blocks.alias("x"), blocks.alias("y")
+    apart = F.col("x.alone").isNull() | F.col("y.alone").isNull() | (F.col("x.alone") != F.col("y.alone"))
+    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.block") <= F.col("y.block")) & apart)
+    task = F.xxhash64("x.key", "x.block", "y.block")
+    side = lambda name, i: F.struct(F.col(f"{name}.block").alias("block"), F.lit(i).alias("side"))
+    sides = F.when(F.col("x.block") == F.col("y.block"), F.array(side("x", 0))).otherwise(F.array(side("x", 0), side("y", 1)))
+    to = met.select("x.key", task.alias("task"), F.explode(sides).alias("s")).select("key", "task", "s.block", "s.side")
+    return dealt.join(to, ["key", "block"]).select("task", "side", "node", "label")
 
 
 def shingle_sets(documents: DataFrame, config: NearDupConfig) -> DataFrame:
@@ -234,16 +266,91 @@ def verified(pairs: DataFrame, sets: DataFrame, config: NearDupConfig) -> DataFr
     return both.mapInArrow(run, "a binary, b binary, similarity double")
 
 
+def shared_weights(x: list[tuple[np.ndarray, np.ndarray]], y: list[tuple[np.ndarray, np.ndarray]], columns: int = 4096) -> np.ndarray:
+    """For each set of x and of y, the sum over shared shingles of x's weight times y's."""
+    value = [np.concatenate([s for s, _ in side]) for side in (x, y)]
+    weight = [np.concatenate([w for _, w in side]).astype(np.float64) for side in (x, y)]
+    owner = [np.repeat(np.arange(len(side)), [len(s) for s, _ in side]) for side in (x, y)]
+    both = np.intersect1d(value[0], value[1])
+    out = np.zeros((len(x), len(y)))
+    for at in range(0, len(both), columns):
+        part, dense = both[at : at + columns], []
+        for v, w, o, n in zip(value, weight, owner, (len(x), len(y)), strict=True):
+            place = np.minimum(np.searchsorted(part, v), len(part) - 1)
+            there = part[place] == v
+            cells = np.zeros((n, len(part)))
+            cells[o[there], place[there]] = w[there]
+            dense.append(cells)
+        out += dense[0] @ dense[1].T
+    return out
+
+
+def compare_blocks(x: list[tuple], y: list[tuple] | None, limit: float) -> list[tuple[bytes, bytes, float]]:
+    """Links that join all components which similar nodes of two blocks (or of one) belong to.
+
+    Nodes are (node, label, shingles, counts or None).  All pairs are
+    compared; a link is left out if those before it join its two labels.
+    """
+    same, y = y is None, x if y is None else y
+    ones = lambda side: [(s, np.ones(len(s))) for _, _, s, _ in side]
+    sizes = [np.array([len(s) for _, _, s, _ in side], np.int64) for side in (x, y)]
+    common = np.rint(shared_weights(ones(x), ones(y)))
+    plain = common / np.maximum(sizes[0][:, None] + sizes[1][None, :] - common, 1)
+    # probability Jaccard similarity is at most the part of either text's weight that shared shingles have
+    counted = [np.array([c is not None for *_, c in side]) for side in (x, y)]
+    maybe = counted[0][:, None] | counted[1][None, :]
+    if maybe.any():
+        parts = lambda side: [(s, np.full(len(s), 1 / max(1, len(s))) if c is None else c / c.sum()) for _, _, s, c in side]
+        bound = np.minimum(shared_weights(parts(x), ones(y)), shared_weights(ones(x), parts(y)))
+        maybe &= bound >= limit - 1e-6
+    parent: dict[bytes, bytes] = {}
+
+    def find(label: bytes) -> bytes:
+        while (up := parent.get(label, label)) != label:
+            parent[label] = parent.get(up, up)
+            label = up
+        return label
+
+    out: list[tuple[bytes, bytes, float]] = []
+    for i, j in np.argwhere((plain >= limit) | maybe).tolist():
+        (a, la, sa, ca), (b, lb, sb, cb) = x[i], y[j]
+        if (same and j <= i) or a == b or (p := find(la)) == (q := find(lb)):
+            continue
+        found = similarity(sa, ca, sb, cb)
+        if found >= limit:
+            parent[max(p, q)] = min(p, q)
+            out.append((min(a, b), max(a, b), found))
+    return out
+
+
+def crowd_links(tasks: DataFrame, sets: DataFrame, config: NearDupConfig) -> DataFrame:
+    """Verified links (a, b, similarity) from the tasks of block_pairs()."""
+
+    def run(table: pa.Table) -> pa.Table:
+        numbers = lambda v: None if v is None else np.frombuffer(v, np.uint32)
+        sides: tuple[list, list] = ([], [])
+        for side, node, label, shingles, counts in zip(*[table.column(c).to_pylist() for c in ("side", "node", "label", "shingles", "counts")], strict=True):
+            sides[side].append((node, label, numbers(shingles), numbers(counts)))
+        got = compare_blocks(sides[0], sides[1] or None, config.similarity) if sides[0] else []
+        a, b, found = zip(*got, strict=True) if got else ((), (), ())
+        return pa.table([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(found, pa.float64())], ["a", "b", "similarity"])
+
+    both = tasks.join(sets, "node").select("task", "side", "node", "label", "shingles", "counts")
+    return both.groupBy("task").applyInArrow(run, "a binary, b binary, similarity double")
+
+
 def classes(documents: DataFrame, config: NearDupConfig = NearDupConfig()) -> DataFrame:
     """One row per document: doc_id, text_key, class_id, class_size, links, kept.
 
-    links: verified links of the document's text to other texts.  kept: true
+    links: verified links of the document's text to other texts (of those
+    inside a crowd, as many as its class needs).  kept: true
     for one row of each class, unless equal rows repeat (then for each).
     """
     rows = written(signatures(documents, config))
     by_node = rows.groupBy("node").agg(F.first("bands").alias("bands"), F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_key")).alias("r"))
     nodes = written(by_node.select("node", "bands", "r.doc_id", "r.text_key"))
-    pairs = written(candidates(nodes.select("node", "bands"), config))
+    pairs, crowded = candidates(nodes.select("node", "bands"), config)
+    pairs = written(pairs)
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "doc_id", "text_key"), "node")
     wanted = written(wanted.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")))
     keyed = maybe_in(_keyed(documents), "text_key", wanted.select("_key"))
@@ -251,6 +358,11 @@ def classes(documents: DataFrame, config: NearDupConfig = NearDupConfig()) -> Da
     sets = written(shingle_sets(texts, config).dropDuplicates(["node"]))
     links = written(verified(pairs, sets, config))
     labels = connected_components(links)
+    more = written(crowd_links(block_pairs(crowded, labels, config), sets, config))
+    if not more.isEmpty():
+        joined = labels.where("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(more.select("a", "b"))
+        labels = connected_components(joined)
+        links = links.unionByName(more).dropDuplicates(["a", "b"])
     degree = links.select(F.col("a").alias("node")).unionAll(links.select("b")).groupBy("node").agg(F.count("*").alias("links"))
     known = labels.join(degree, "node", "left")
     row = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_key")
