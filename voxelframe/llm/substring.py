@@ -22,8 +22,8 @@ so a passage shared by n texts gives at most 2n - 3 rows.
 
 Passages equal in at least 50 words share all signatures and are found
 always, unless a signature's first and last texts share the two min-hashes
-but not the passage.  At a similarity of 0.8, one of six signatures is shared with a
-probability of 0.998.
+but not the passage.  At a similarity of 0.8, one of two signatures is shared with a
+probability of 0.87.
 
 Defined results: null and short texts have no passages; rows equal in doc_id
 and text are one document; repeats within one text do not count; a null
@@ -50,7 +50,7 @@ class PassageConfig:
     words: int = 5
     least_words: int = 50
     similarity: float = 0.8
-    signatures: int = 6
+    signatures: int = 2
 
     @property
     def least(self) -> int:
