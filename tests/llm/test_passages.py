@@ -10,46 +10,133 @@ from voxelframe.llm.textbatch import Words, text_buffer
 CONFIG = substring.PassageConfig()
 
 
-def test_tree_windows_are_the_runs_of_sliding_minima():
-    rng = random.Random(1)
-    for _ in range(200):
-        values = rng.sample(range(1000), rng.randint(1, 40))
-        least = rng.randint(1, 8)
+def tree_windows(values, least):
+    """(left, centre, right) of the tree's nodes of ``least`` tokens or more, by definition; of equal values the left one is the parent."""
+    out = []
+    for centre, value in enumerate(values):
+        left = right = centre
+        while left and values[left - 1] > value:
+            left -= 1
+        while right + 1 < len(values) and values[right + 1] >= value:
+            right += 1
+        if right - left + 1 >= least:
+            out.append((left, centre, right))
+    return out
+
+
+def test_compact_windows_are_the_wide_nodes_of_the_tree():
+    config = substring.PassageConfig(words=1, least_words=6)
+    for seed in range(40):
+        texts = [prose(seed * 3 + i, 5 + 9 * (seed + i) % 60) for i in range(3)]
+        words = Words(*text_buffer(pa.array(texts)), lower=True)
+        tokens = words.shingles(1)[0]
+        starts = np.flatnonzero(words.doc[: len(tokens) - 5] == words.doc[5:])
+        got = substring.compact_windows(words, tokens, starts, seed, config) if len(starts) else None
         want = []
-        for centre, value in enumerate(values):
-            left = right = centre
-            while left and values[left - 1] > value:
-                left -= 1
-            while right + 1 < len(values) and values[right + 1] > value:
-                right += 1
-            if right - left + 1 >= least:
-                want.append((left, centre, right))
-        assert substring.cartesian_windows(values, least) == sorted(want)
-        if len(values) >= least:
-            minima = substring.sliding_min(np.array(values, np.uint64), least).tolist()
-            starts = [i for i, m in enumerate(minima) if not i or minima[i - 1] != m]
-            ends = [*[s - 1 for s in starts[1:]], len(minima) - 1]
-            near = [(max(a, c - least + 1), c, min(b, c + least - 1)) for a, c, b in want]
-            assert sorted((s, values.index(minima[s]), e + least - 1) for s, e in zip(starts, ends, strict=True)) == sorted(near)
+        for d in range(3):
+            base, stop = words.first_word[d], words.first_word[d + 1]
+            values = (substring.token_hashes(tokens[base:stop], seed) >> np.uint64(32)).tolist()
+            want += [(base + a, base + c, base + b) for a, c, b in tree_windows(values, 6)]
+        if got is None:
+            assert not want
+            continue
+        assert list(zip(got.left.tolist(), got.centre.tolist(), got.right.tolist(), strict=True)) == sorted(want, key=lambda w: w[1])
+        for start, node in zip(starts.tolist(), got.node.tolist(), strict=True):
+            assert got.left[node] <= start <= got.centre[node] <= start + 5 <= got.right[node]
 
 
 def test_rows_intersect_the_windows_of_two_functions():
     words = Words(*text_buffer(pa.array([prose(1, 300), prose(2, 20), prose(3, 150)])), lower=True)
-    doc, key, first, last = substring.compact_rows(words, CONFIG)
+    doc, key, first, last, again = substring.joint_windows(words, CONFIG)
     tokens = words.shingles(5)[0]
     want = set()
     for d in range(3):
         own = tokens[words.first_word[d] : max(words.first_word[d], words.first_word[d + 1] - 4)]
         for number in range(CONFIG.signatures):
-            trees = [substring.cartesian_windows(substring.token_hashes(own, 2 * number + j).tolist(), CONFIG.least) for j in range(2)]
+            trees = [tree_windows((substring.token_hashes(own, 2 * number + j) >> np.uint64(32)).tolist(), CONFIG.least) for j in range(2)]
             for a in trees[0]:
                 for b in trees[1]:
-                    # first tokens of the stretches whose minima are both nodes
-                    low = max(max(left, centre - CONFIG.least + 1) for left, centre, _ in (a, b))
-                    high = min(min(centre, right - CONFIG.least + 1) for _, centre, right in (a, b))
-                    if low <= high:
-                        want.add((d, low, high + CONFIG.least - 1 + 4))
+                    low, high = max(a[0], b[0]), min(a[2], b[2])
+                    if low <= min(a[1], b[1]) and max(a[1], b[1]) <= high and high - low + 1 >= CONFIG.least > abs(a[1] - b[1]):
+                        want.add((d, low, high + 4))
     assert set(zip(doc.tolist(), first.tolist(), last.tolist(), strict=True)) == want
+    assert not again.any()
+
+
+def test_repeats_within_a_text_are_marked():
+    part = prose(4, 200)
+    doc, key, first, last, again = substring.joint_windows(Words(*text_buffer(pa.array([f"{part} {part} {part}"])), lower=True), CONFIG)
+    assert again.any() and not again.all()
+    assert set(key[again].tolist()) <= set(key[~again].tolist())
+
+
+def common_runs(a, b, least):
+    """Whether two lists of words share ``least`` words in a row."""
+    runs = {tuple(a[i : i + least]) for i in range(len(a) - least + 1)}
+    return any(tuple(b[i : i + least]) in runs for i in range(len(b) - least + 1))
+
+
+def random_corpus(seed, texts=70):
+    """Texts of passages that several share, edited or not, among lines that very many share."""
+    rng = random.Random(seed)
+    bank, line = [prose(seed * 100 + i, rng.randint(50, 130), "x") for i in range(12)], prose(seed * 100 + 50, 22, "y")
+    rows = []
+    for i in range(texts):
+        parts = [prose(seed * 1000 + i, rng.randint(5, 40), "z")]
+        for p in rng.sample(bank, rng.randint(0, 2)):
+            words = p.split()
+            for _ in range(rng.choice([0, 0, len(words) // 40])):
+                words[rng.randrange(len(words))] = f"edit{i}"
+            parts += [line if rng.random() < 0.8 else "", " ".join(words), prose(seed * 2000 + i * 7 + len(parts), rng.randint(3, 30), "z")]
+        rows.append((i, " ".join(parts), None, None))
+    return rows
+
+
+def test_all_pairs_by_brute_force(spark):
+    """Texts that share 50 words in a row end in one group; no pair is reported that shares no such passage."""
+    config = substring.PassageConfig(block=8)  # several blocks for each signature
+    for seed in (1, 2):
+        rows = random_corpus(seed)
+        words = {i: t.lower().split() for i, t, _, _ in rows}
+        got = substring.shared_passages(documents(spark, rows), config).collect()
+        parent = {i: i for i in words}
+
+        def find(x, parent=parent):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for r in got:
+            a = words[r["doc_id"]][r["first_word"] : r["first_word"] + r["n_words"]]
+            b = words[r["lead_doc_id"]][r["lead_first_word"] : r["lead_first_word"] + r["lead_n_words"]]
+            x, y = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (a, b))
+            assert len(a) >= 50 and len(x & y) / len(x | y) >= 0.8 - 1e-9
+            assert abs(len(x & y) / len(x | y) - r["similarity"]) < 1e-9
+            parent[find(r["doc_id"])] = find(r["lead_doc_id"])
+        for i in words:
+            for j in range(i):
+                if common_runs(words[i], words[j], 50):
+                    assert find(i) == find(j), (seed, i, j)
+
+
+def test_passages_at_the_limit_are_found_whole(spark):
+    """Pairs with edited passages of a similarity of 0.8 to 0.85: at least 97 % are found, 95 % whole."""
+    rng, rows, sizes = random.Random(9), [], {}
+    for n in range(150):
+        length, edits = ((60, 1), (100, 2), (150, 3))[n % 3]
+        words = prose(5000 + n, length, "p").split()
+        other = list(words)
+        for e in range(edits):
+            other[rng.randrange(e * length // edits + 8, (e + 1) * length // edits - 8)] = "changed"
+        rows.append((2 * n, f"{prose(6000 + n, 60, 'q')} {' '.join(words)} {prose(7000 + n, 60, 'r')}", None, None))
+        rows.append((2 * n + 1, f"{prose(8000 + n, 90, 's')} {' '.join(other)} {prose(9000 + n, 30, 't')}", None, None))
+        sizes[n] = length
+    best: dict[int, int] = {}
+    for r in substring.shared_passages(documents(spark, rows)).collect():
+        assert r["doc_id"] // 2 == r["lead_doc_id"] // 2
+        best[r["doc_id"] // 2] = max(best.get(r["doc_id"] // 2, 0), r["n_words"])
+    assert len(best) >= 0.97 * len(sizes)
+    assert sum(best.get(n, 0) >= size - 2 for n, size in sizes.items()) >= 0.95 * len(sizes)
 
 
 def test_planted_passages_are_found_and_the_rest_left_alone(spark):

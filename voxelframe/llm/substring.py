@@ -2,28 +2,30 @@
 
 Tokens are shingles of five lower-cased words, hashed by several functions.
 In the Cartesian tree over one function's hashes (a heap by hash, in order by
-position), a node and its subtree are a compact window: every subsequence that
-holds the node and stays inside the subtree has the node's hash as its
-min-hash.  Only windows of at least ``least`` tokens can hold a passage of
-that length.  A node's subtree is that wide just if the node is the minimum of
-some ``least`` tokens in a row, so the wide nodes are read off from sliding
-minima, each with the part of its subtree less than ``least`` tokens away,
-without building the narrow part of the tree (``cartesian_windows`` builds the
-tree itself; tests compare the two).  Longer extents come back when the
-windows of a pair of texts are merged.
-
-Windows of two functions are intersected within their text, and the passages
-where both agree form rows (signature, text, extent).  Rows of a signature
-are joined with the extents in its first and its last text (by row hash);
-overlapping extents of a pair of texts are merged over all signatures, and
-the pair is verified token by token: a passage of at least 50 words with a
-Jaccard similarity of 0.8 or more.  No pair of two texts in between is made,
-so a passage shared by n texts gives at most 2n - 3 rows.
+position), a node and its subtree are a compact window [left, centre, right]:
+every subsequence that holds the node and stays inside the subtree has the
+node's hash as its min-hash.  Only windows of at least ``least`` tokens can
+hold a passage of that length; their nodes are the minima of some ``least``
+tokens in a row, and as ancestors of such nodes are such nodes too, the tree
+over them alone gives each its whole subtree.
+
+Windows of two functions are intersected within their text; a place where both
+agree is a row (signature, text, extent).  Texts meet in rows of an equal
+signature, and the extents of a pair of texts that overlap are merged over all
+signatures.  The pair is verified token by token around them: a passage of at
+least 50 words with a Jaccard similarity of 0.8 or more.
+
+In each signature, all texts are compared with the least one (by row hash).
+Rows that share no passage with it go on without it, for ``rounds`` times;
+what is then left is compared in full, by pairs of blocks of ``block`` rows,
+where each row is linked with the least text of a block that shares a passage
+with it.  A passage shared by n texts so gives about n rows, and no pairs of
+all its texts.  The full comparison grows with the square of the rows of a
+signature that share nothing with its least texts.
 
 Passages equal in at least 50 words share all signatures and are found
-always, unless a signature's first and last texts share the two min-hashes
-but not the passage.  At a similarity of 0.8, one of two signatures is shared with a
-probability of 0.87.
+always.  At a similarity of exactly 0.8, passages of 50 words share one of the
+four signatures with a probability of 0.98, longer or likelier ones with more.
 
 Defined results: null and short texts have no passages; rows equal in doc_id
 and text are one document; repeats within one text do not count; a null
@@ -32,6 +34,7 @@ doc_id is carried as null.  Extra columns are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -40,6 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .neardup import shared_weights
 from .store import maybe_in, set_aside, written
 from .textbatch import Words, chunks, mix64, text_buffer
 from .winnow import sliding_min
@@ -50,59 +54,102 @@ class PassageConfig:
     words: int = 5
     least_words: int = 50
     similarity: float = 0.8
-    signatures: int = 2
+    signatures: int = 4
+    rounds: int = 2
+    block: int = 512
 
     @property
     def least(self) -> int:
         """Tokens of a passage of ``least_words`` words."""
         return self.least_words - self.words + 1
 
-
-def cartesian_windows(hashes: list[int], least: int) -> list[tuple[int, int, int]]:
-    """(left, centre, right) of the tree's nodes that span ``least`` tokens or more.
-
-    One pass with a stack; of equal hashes, the left one is the parent.
-    """
-    stack: list[tuple[int, int]] = []  # (position, left end), hashes rising
-    out = []
-
-    def close(right: int, below: float) -> int:
-        left = right + 1
-        while stack and hashes[stack[-1][0]] > below:
-            centre, left = stack.pop()
-            if right - left + 1 >= least:
-                out.append((left, centre, right))
-        return left
-
-    for at, value in enumerate(hashes):
-        stack.append((at, close(at - 1, value)))
-    close(len(hashes) - 1, float("-inf"))
-    return sorted(out)
+    @property
+    def common(self) -> int:
+        """Tokens that two passages of ``least`` tokens must have in common to be similar enough."""
+        return math.ceil(2 * self.similarity / (1 + self.similarity) * self.least - 1e-9)
 
 
 def token_hashes(tokens: np.ndarray, function: int) -> np.ndarray:
     return mix64(tokens ^ np.uint64((0xA0761D6478BD642F * (2 * function + 1)) & (2**64 - 1)))
 
 
-def compact_rows(words: Words, config: PassageConfig) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, signature, first word, last word), words counted in their text."""
-    span, tokens = config.least + config.words - 1, words.shingles(config.words)[0]
-    starts = len(words.doc) - span + 1
-    if starts <= 0:
-        return (np.zeros(0, np.int64),) * 4
-    at = np.flatnonzero(words.doc[:starts] == words.doc[span - 1 :])
+def next_lower(values: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Index of the nearest lower value to the left in the same text, or -1: the tree's ancestor on that side.
+
+    All that lies between an index and its pointer is greater, so a pointer to
+    a greater value may jump to where that one points.
+    """
+    to = np.arange(-1, len(values) - 1)
+    open_ = np.arange(len(values))
+    while len(open_):
+        at = to[open_]
+        out = (at < 0) | (doc[at] != doc[open_])
+        to[open_[out]] = -1
+        open_ = open_[~out]
+        open_ = open_[values[to[open_]] > values[open_]]
+        to[open_] = to[to[open_]]
+    return to
+
+
+@dataclass
+class CompactWindows:
+    """Nodes that span ``least`` tokens or more of one function's trees: left, centre, right (tokens of the batch),
+    and the node of each run of ``least`` tokens that begins at ``starts``."""
+
+    left: np.ndarray
+    centre: np.ndarray
+    right: np.ndarray
+    node: np.ndarray
+
+
+def compact_windows(words: Words, tokens: np.ndarray, starts: np.ndarray, function: int, config: PassageConfig) -> CompactWindows:
+    """Of equal hashes, the left one is the parent."""
+    low = token_hashes(tokens, function) >> np.uint64(32)
+    packed = (low << np.uint64(32)) | np.arange(len(tokens), dtype=np.uint64)
+    minima = sliding_min(packed, config.least)[starts]
+    new = np.ones(len(minima), bool)
+    new[1:] = minima[1:] != minima[:-1]
+    value = minima[new]
+    centre = (value & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    doc = words.doc[centre]
+    before = next_lower(value, doc)
+    after = len(value) - 1 - next_lower(value[::-1], doc[::-1])[::-1]
+    left = np.where(before >= 0, centre[before] + 1, words.first_word[doc])
+    right = np.where(after < len(value), centre[np.minimum(after, len(value) - 1)] - 1, words.first_word[doc + 1] - config.words)
+    return CompactWindows(left, centre, right, np.cumsum(new) - 1)
+
+
+def joint_windows(words: Words, config: PassageConfig) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, signature, first word, last word, again) where a window of one function meets one of another.
+
+    Words are counted in their text.  ``again``: the text has an equal row with the same tokens before.
+    """
+    tokens = words.shingles(config.words)[0]
+    span = config.least + config.words - 1
+    count = len(words.doc) - span + 1
+    starts = np.flatnonzero(words.doc[:count] == words.doc[span - 1 :]) if count > 0 else np.zeros(0, np.int64)
+    if not len(starts):
+        return (np.zeros(0, np.int64),) * 4 + (np.zeros(0, bool),)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(tokens, dtype=np.uint64)])
     out = []
     for number in range(config.signatures):
-        least = [sliding_min(token_hashes(tokens, 2 * number + j), config.least)[at] for j in range(2)]
-        new = np.ones(len(at), bool)
-        if len(at) > 1:
-            new[1:] = (at[1:] != at[:-1] + 1) | (least[0][1:] != least[0][:-1]) | (least[1][1:] != least[1][:-1]) | (words.doc[at[1:]] != words.doc[at[:-1]])
+        a, b = (compact_windows(words, tokens, starts, 2 * number + j, config) for j in range(2))
+        of_a, of_b = tokens[a.centre][a.node], tokens[b.centre][b.node]
+        new = np.ones(len(starts), bool)
+        new[1:] = (of_a[1:] != of_a[:-1]) | (of_b[1:] != of_b[:-1]) | (starts[1:] != starts[:-1] + 1) | (words.doc[starts[1:]] != words.doc[starts[:-1]])
         first = np.flatnonzero(new)
-        last = np.append(first[1:], len(at)) - 1
-        doc = words.doc[at[first]]
-        key = mix64(mix64(least[0][first] + np.uint64(number)) * np.uint64(31) + least[1][first]).astype(np.int64)
+        last = np.append(first[1:], len(starts)) - 1
+        low = np.maximum(a.left[a.node[first]], b.left[b.node[first]])
+        high = np.minimum(a.right[a.node[last]], b.right[b.node[last]])
+        doc = words.doc[starts[first]]
+        key = mix64(mix64(of_a[first] + np.uint64(number)) * np.uint64(31) + of_b[first])
+        place = mix64(key + mix64(doc.astype(np.uint64)))
+        order = np.argsort(place, kind="stable")
+        again = np.zeros(len(key), bool)
+        body = sums[high + 1] - sums[low]
+        again[order[1:]] = (place[order[1:]] == place[order[:-1]]) & (body[order[1:]] == body[order[:-1]])
         base = words.first_word[doc]
-        out.append((doc, key, at[first] - base, at[last] + span - 1 - base))
+        out.append((doc, key.astype(np.int64), low - base, high + config.words - 1 - base, again))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
@@ -112,14 +159,15 @@ def _rows(documents: DataFrame) -> DataFrame:
 
 
 def windows(documents: DataFrame, config: PassageConfig) -> DataFrame:
-    """(key, row, span): span has the first word in its upper and the last in its lower half."""
+    """(key, row, span): span has the first word in its upper and the last in its lower half, and is negative for ``again``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, "text"):
-                doc, key, first, last = compact_rows(Words(*text_buffer(part.column("text")), lower=True), config)
+                doc, key, first, last, again = joint_windows(Words(*text_buffer(part.column("text")), lower=True), config)
                 row = part.column("row").to_numpy()[doc] if len(doc) else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(row), pa.array(first << 32 | last)], ["key", "row", "span"])
+                span = first << 32 | last
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(row), pa.array(np.where(again, -1 - span, span))], ["key", "row", "span"])
 
     return documents.select("row", "text").mapInArrow(run, "key long, row long, span long")
 
@@ -195,25 +243,53 @@ def passages(own: np.ndarray, lead: np.ndarray, config: PassageConfig) -> list[t
     return out
 
 
+def first_matches(x: list[tuple], y: list[tuple] | None, config: PassageConfig) -> list[tuple]:
+    """For each row of two blocks (or of one), the passages it shares with the least row that shares any.
+
+    Rows are (row, first word, tokens); results (row, lead row, first word,
+    tokens, first word of the lead, tokens of the lead, similarity).  All pairs
+    are compared by the number of common tokens, those with enough in full.
+    """
+    same, y = y is None, x if y is None else y
+    ones = lambda side: [(t := np.unique(r[2]), np.ones(len(t))) for r in side]
+    enough = shared_weights(ones(x), ones(y)) >= config.common - 0.5
+    maybe: dict[int, list[tuple]] = {}
+    for i, j in np.argwhere(enough).tolist():
+        if (same and j <= i) or x[i][0] == y[j][0]:
+            continue
+        lead, own = sorted((x[i], y[j]), key=lambda r: (r[0], r[1]))
+        maybe.setdefault(id(own), [own]).append(lead)
+    out = []
+    for own, *leads in maybe.values():
+        done = None
+        for lead in sorted(leads, key=lambda r: (r[0], r[1])):
+            if done is not None and lead[0] != done:
+                break
+            for first, n, lead_first, lead_n, likeness in passages(own[2], lead[2], config):
+                out.append((own[0], lead[0], own[1] + first, n, lead[1] + lead_first, lead_n, likeness))
+                done = lead[0]
+    return out
+
+
+_FOUND = "first_word long, n_words long, lead_first_word long, lead_n_words long, similarity double"
+
+
 def shared_passages(documents: DataFrame, config: PassageConfig = PassageConfig()) -> DataFrame:
-    """One row for each passage of a document that its leading document has too.
+    """One row for each passage of a document that a leading document has too.
 
-    Columns: row, doc_id, first_word, n_words, lead_row, lead_doc_id,
+    Columns: row, doc_id, lead_row, lead_doc_id, first_word, n_words,
     lead_first_word, lead_n_words, similarity.
     """
     kind = documents.schema["doc_id"].dataType.simpleString()
     rows = _rows(documents)
     found = windows(rows, config)
-    ends = found.groupBy("key").agg(F.min("row").alias("least"), F.max("row").alias("most")).where("least <> most")
-    met = written(found.join(ends, "key"))
-    spans = lambda name: met.where(F.col("row") == F.col(name)).groupBy("key").agg(F.min("span").alias("end_span"))
-    # the text with the greater row hash follows; the most follows all others
-    below = met.where("row <> least").join(spans("least"), "key").select("row", F.col("least").alias("lead"), "span", F.col("end_span").alias("lead_span"))
-    above = met.where("row <> least and row <> most").join(spans("most"), "key").select(F.col("most").alias("row"), F.col("row").alias("lead"), F.col("end_span").alias("span"), F.col("span").alias("lead_span"))
-    pairs = below.unionByName(above).groupBy("row", "lead").agg(F.collect_set(F.struct("span", "lead_span")).alias("spans"))
-    pairs = written(pairs.mapInArrow(_merge, "row long, lead long, low long, high long, lead_low long, lead_high long"))
-    wanted = written(pairs.select("row").union(pairs.select("lead")).distinct())
-    k = config.words
+    k, pad = config.words, config.least_words
+    several = lambda df: df.groupBy("key").agg(F.min("row").alias("least"), F.max("row").alias("most")).where("least <> most")
+    ends = written(several(found).select("key", "least"))
+    again = F.col("span") < 0
+    span = F.when(again, -1 - F.col("span")).otherwise(F.col("span"))
+    open_ = written(found.join(ends, "key").select("key", "row", span.alias("span"), again.alias("again"), "least"))
+    wanted = written(open_.select("row").distinct())
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -225,31 +301,75 @@ def shared_passages(documents: DataFrame, config: PassageConfig = PassageConfig(
 
     texts = maybe_in(rows, "row", wanted).join(wanted, "row", "left_semi").mapInArrow(read, f"row long, doc_id {kind}, tokens binary")
     texts = written(texts.dropDuplicates(["row"]))
+    lead_texts = texts.select(F.col("row").alias("lead"), F.col("doc_id").alias("lead_doc_id"), F.col("tokens").alias("lead_all"))
 
-    def piece(low: str, high: str):
-        return F.substring("tokens", F.col(low).cast("int") * 4 + 1, (F.col(high) - F.col(low) + (2 - k)).cast("int") * 4)
-
-    lead = texts.select(F.col("row").alias("lead"), F.col("doc_id").alias("lead_doc_id"), "tokens")
-    one = pairs.join(lead, "lead").withColumn("lead_tokens", piece("lead_low", "lead_high")).drop("tokens", "lead_high")
-    both = one.join(texts, "row").withColumn("own_tokens", piece("low", "high")).drop("tokens", "high")
+    def piece(tokens: str, low: str, high: str):
+        return F.substring(tokens, F.col(low).cast("int") * 4 + 1, (F.col(high) - F.col(low) + (2 - k)).cast("int") * 4)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            take, got = [], []
+            take, got, inside = [], [], []
             own, other = batch.column("own_tokens").to_pylist(), batch.column("lead_tokens").to_pylist()
-            low, lead_low = batch.column("low").to_pylist(), batch.column("lead_low").to_pylist()
+            low, lead_low, ext_low, ext_high = (batch.column(c).to_pylist() for c in ("from", "lead_from", "low", "high"))
             for i in range(batch.num_rows):
                 for first, n, lead_first, lead_n, likeness in passages(np.frombuffer(own[i], np.uint32), np.frombuffer(other[i], np.uint32), config):
                     take.append(i)
-                    got.append((low[i] + first, n + k - 1, lead_low[i] + lead_first, lead_n + k - 1, likeness))
+                    begin, size = low[i] + first, n + k - 1
+                    got.append((begin, size, lead_low[i] + lead_first, lead_n + k - 1, likeness))
+                    inside.append(2 * (min(begin + size - 1, ext_high[i]) - max(begin, ext_low[i]) + 1) >= config.least_words)
             columns = list(zip(*got, strict=True)) or [()] * 5
             names = ["first_word", "n_words", "lead_first_word", "lead_n_words", "similarity"]
-            ids = [batch.column(c).take(pa.array(take, pa.int64())) for c in ("row", "doc_id", "lead", "lead_doc_id")]
-            cells = [*ids, *[pa.array(c, pa.int64() if n != "similarity" else pa.float64()) for n, c in zip(names, columns, strict=True)]]
-            yield pa.RecordBatch.from_arrays(cells, ["row", "doc_id", "lead_row", "lead_doc_id", *names])
+            same = [batch.column(c).take(pa.array(take, pa.int64())) for c in ("row", "doc_id", "lead", "lead_doc_id", "low", "high")]
+            cells = [*same, pa.array(inside, pa.bool_()), *[pa.array(c, pa.int64() if n != "similarity" else pa.float64()) for n, c in zip(names, columns, strict=True)]]
+            yield pa.RecordBatch.from_arrays(cells, ["row", "doc_id", "lead_row", "lead_doc_id", "low", "high", "inside", *names])
 
-    schema = f"row long, doc_id {kind}, lead_row long, lead_doc_id {kind}, first_word long, n_words long, lead_first_word long, lead_n_words long, similarity double"
-    return both.select("row", "doc_id", "lead", "lead_doc_id", "low", "lead_low", "own_tokens", "lead_tokens").mapInArrow(verify, schema)
+    out = []
+    for _ in range(config.rounds):
+        # a leading text that repeats itself counts once for each context
+        leads = open_.where("row = least and not again").select("key", F.col("span").alias("lead_span"))
+        met = open_.where("row <> least").select("key", "row", "span", "least", "again")
+        pairs = met.join(leads, "key").groupBy("row", F.col("least").alias("lead")).agg(F.collect_set(F.struct("span", "lead_span")).alias("spans"))
+        pairs = written(pairs.mapInArrow(_merge, "row long, lead long, low long, high long, lead_low long, lead_high long"))
+        # with the words around them, as a passage may begin or end with words that no agreeing window holds
+        wide = pairs.withColumns({"from": F.greatest(F.col("low") - pad, F.lit(0)), "lead_from": F.greatest(F.col("lead_low") - pad, F.lit(0)), "to": F.col("high") + pad, "lead_to": F.col("lead_high") + pad})
+        one = wide.join(lead_texts, "lead").withColumn("lead_tokens", piece("lead_all", "lead_from", "lead_to")).drop("lead_all")
+        both = one.join(texts, "row").withColumn("own_tokens", piece("tokens", "from", "to")).drop("tokens")
+        both = both.select("row", "doc_id", "lead", "lead_doc_id", "low", "high", "from", "lead_from", "own_tokens", "lead_tokens")
+        got = written(both.mapInArrow(verify, f"row long, doc_id {kind}, lead_row long, lead_doc_id {kind}, low long, high long, inside boolean, {_FOUND}"))
+        out.append(got.drop("low", "high", "inside"))
+        solved = got.where("inside").select(F.col("row").alias("_row"), "lead_row", "low", "high").distinct()
+        here = (F.col("row") == F.col("_row")) & (F.col("least") == F.col("lead_row")) & (F.shiftright("span", 32) >= F.col("low")) & (F.col("span").bitwiseAND(0xFFFFFFFF) <= F.col("high"))
+        rest = written(met.join(solved, here, "left_anti").drop("least"))
+        open_ = written(rest.join(several(rest).select("key", "least"), "key"))
+
+    # blocks of a signature's rows that are still open; all pairs of blocks are compared
+    keys = open_.groupBy("key").agg(F.ceil(F.count("*") / F.lit(config.block)).cast("int").alias("blocks"))
+    mine = F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int")
+    dealt = open_.where("not again").join(keys, "key").withColumn("own", mine)
+    dealt = dealt.select("key", "row", "span", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    task = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
+    side = F.when(F.col("own") <= F.col("other"), 0).otherwise(1)
+    begin, end = F.shiftright("span", 32), F.col("span").bitwiseAND(0xFFFFFFFF)
+    dealt = dealt.select(task.alias("task"), side.alias("side"), "row", F.greatest(begin - pad, F.lit(0)).alias("from"), (end + pad).alias("to"))
+    ready = dealt.join(texts, "row").withColumn("own_tokens", piece("tokens", "from", "to")).select("task", "side", "row", "doc_id", "from", "own_tokens")
+
+    def compare(table: pa.Table) -> pa.Table:
+        sides: tuple[list, list] = ([], [])
+        ids = {}
+        for s, row, doc, low, tokens in zip(*[table.column(c).to_pylist() for c in ("side", "row", "doc_id", "from", "own_tokens")], strict=True):
+            sides[s].append((row, low, np.frombuffer(tokens, np.uint32)))
+            ids[row] = doc
+        got = first_matches(sides[0], sides[1] or None, config) if sides[0] else []
+        cells = list(zip(*got, strict=True)) or [()] * 7
+        arrays = [pa.array(cells[0], pa.int64()), pa.array([ids[r] for r in cells[0]], table.schema.field("doc_id").type), pa.array(cells[1], pa.int64()), pa.array([ids[r] for r in cells[1]], table.schema.field("doc_id").type)]
+        arrays += [pa.array(cells[2], pa.int64()), pa.array([n + k - 1 for n in cells[3]], pa.int64()), pa.array(cells[4], pa.int64()), pa.array([n + k - 1 for n in cells[5]], pa.int64()), pa.array(cells[6], pa.float64())]
+        return pa.table(arrays, ["row", "doc_id", "lead_row", "lead_doc_id", "first_word", "n_words", "lead_first_word", "lead_n_words", "similarity"])
+
+    out.append(ready.groupBy("task").applyInArrow(compare, f"row long, doc_id {kind}, lead_row long, lead_doc_id {kind}, {_FOUND}"))
+    whole = out[0]
+    for more in out[1:]:
+        whole = whole.unionByName(more)
+    return whole.dropDuplicates(["row", "lead_row", "first_word", "n_words"])
 
 
 def cut_words(text: bytes, cuts: list[tuple[int, int]]) -> bytes:
