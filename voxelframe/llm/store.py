@@ -35,6 +35,19 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, column: str, finish: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, Callable[[], None]]:
+    """``finish`` of ``df`` dealt by ``column``, as a table in the shared folder that keeps the dealing; and what drops its name.
+
+    Joins on ``column`` read it without a shuffle.  ``finish`` may join and
+    group by ``column`` only, so that each bucket is one file.
+    """
+    spark = df.sparkSession
+    name, parts = f"bucketed_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = finish(df.repartition(parts, column))
+    table.write.bucketBy(parts, column).option("path", f"{shared_folder(spark)}/{name}").saveAsTable(name)
+    return spark.table(name), lambda: spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
 def set_aside(documents: DataFrame, used: tuple[str, ...] = ("doc_id", "text", "source", "lang", "n_chars")) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
     """``documents`` with all columns but ``used`` under names of our own, and the way back.
 

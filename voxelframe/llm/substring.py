@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .neardup import shared_weights
-from .store import maybe_in, set_aside, written
+from .store import bucketed, maybe_in, set_aside, written
 from .textbatch import Words, chunks, mix64, text_buffer
 from .winnow import sliding_min
 
@@ -102,7 +102,7 @@ class CompactWindows:
     node: np.ndarray
 
 
-def compact_windows(words: Words, tokens: np.ndarray, starts: np.ndarray, function: int, config: PassageConfig) -> CompactWindows:
+def compact_windows(words: Words, tokens: np.ndarray, starts: np.ndarray, function: int, config: PassageConfig, extents: bool = True) -> CompactWindows:
     """Of equal hashes, the left one is the parent."""
     low = token_hashes(tokens, function) >> np.uint64(32)
     packed = (low << np.uint64(32)) | np.arange(len(tokens), dtype=np.uint64)
@@ -111,6 +111,8 @@ def compact_windows(words: Words, tokens: np.ndarray, starts: np.ndarray, functi
     new[1:] = minima[1:] != minima[:-1]
     value = minima[new]
     centre = (value & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    if not extents:
+        return CompactWindows(centre, centre, centre, np.cumsum(new) - 1)
     doc = words.doc[centre]
     before = next_lower(value, doc)
     after = len(value) - 1 - next_lower(value[::-1], doc[::-1])[::-1]
@@ -119,10 +121,11 @@ def compact_windows(words: Words, tokens: np.ndarray, starts: np.ndarray, functi
     return CompactWindows(left, centre, right, np.cumsum(new) - 1)
 
 
-def joint_windows(words: Words, config: PassageConfig) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def joint_windows(words: Words, config: PassageConfig, extents: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(text, signature, first word, last word, again) where a window of one function meets one of another.
 
     Words are counted in their text.  ``again``: the text has an equal row with the same tokens before.
+    Without ``extents`` only the first two are right.
     """
     tokens = words.shingles(config.words)[0]
     span = config.least + config.words - 1
@@ -133,16 +136,19 @@ def joint_windows(words: Words, config: PassageConfig) -> tuple[np.ndarray, np.n
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(tokens, dtype=np.uint64)])
     out = []
     for number in range(config.signatures):
-        a, b = (compact_windows(words, tokens, starts, 2 * number + j, config) for j in range(2))
+        a, b = (compact_windows(words, tokens, starts, 2 * number + j, config, extents) for j in range(2))
         of_a, of_b = tokens[a.centre][a.node], tokens[b.centre][b.node]
         new = np.ones(len(starts), bool)
         new[1:] = (of_a[1:] != of_a[:-1]) | (of_b[1:] != of_b[:-1]) | (starts[1:] != starts[:-1] + 1) | (words.doc[starts[1:]] != words.doc[starts[:-1]])
         first = np.flatnonzero(new)
+        doc = words.doc[starts[first]]
+        key = mix64(mix64(of_a[first] + np.uint64(number)) * np.uint64(31) + of_b[first])
+        if not extents:
+            out.append((doc, key.astype(np.int64), first, first, first > 0))
+            continue
         last = np.append(first[1:], len(starts)) - 1
         low = np.maximum(a.left[a.node[first]], b.left[b.node[first]])
         high = np.minimum(a.right[a.node[last]], b.right[b.node[last]])
-        doc = words.doc[starts[first]]
-        key = mix64(mix64(of_a[first] + np.uint64(number)) * np.uint64(31) + of_b[first])
         place = mix64(key + mix64(doc.astype(np.uint64)))
         order = np.argsort(place, kind="stable")
         again = np.zeros(len(key), bool)
@@ -158,6 +164,19 @@ def _rows(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", F.xxhash64("doc_id", text).alias("row"), text.cast("binary").alias("text"))
 
 
+def signatures(documents: DataFrame, config: PassageConfig) -> DataFrame:
+    """(key, row) of all rows, without their extents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks(batch, "text"):
+                doc, key = joint_windows(Words(*text_buffer(part.column("text")), lower=True), config, extents=False)[:2]
+                row = part.column("row").to_numpy()[doc] if len(doc) else np.zeros(0, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(row)], ["key", "row"])
+
+    return documents.select("row", "text").mapInArrow(run, "key long, row long")
+
+
 def windows(documents: DataFrame, config: PassageConfig) -> DataFrame:
     """(key, row, span): span has the first word in its upper and the last in its lower half, and is negative for ``again``."""
 
@@ -285,7 +304,7 @@ def shared_passages(documents: DataFrame, config: PassageConfig = PassageConfig(
     found = windows(rows, config)
     k, pad = config.words, config.least_words
     several = lambda df: df.groupBy("key").agg(F.min("row").alias("least"), F.max("row").alias("most")).where("least <> most")
-    ends = written(several(found).select("key", "least"))
+    ends = written(several(signatures(rows, config)).select("key", "least"))
     again = F.col("span") < 0
     span = F.when(again, -1 - F.col("span")).otherwise(F.col("span"))
     open_ = written(found.join(ends, "key").select("key", "row", span.alias("span"), again.alias("again"), "least"))
@@ -299,9 +318,9 @@ def shared_passages(documents: DataFrame, config: PassageConfig = PassageConfig(
                 cells = [tokens[a : max(a, b - k + 1)].tobytes() for a, b in zip(words.first_word[:-1].tolist(), words.first_word[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("row"), part.column("doc_id"), pa.array(cells, pa.binary())], ["row", "doc_id", "tokens"])
 
-    texts = maybe_in(rows, "row", wanted).join(wanted, "row", "left_semi").mapInArrow(read, f"row long, doc_id {kind}, tokens binary")
-    texts = written(texts.dropDuplicates(["row"]))
-    lead_texts = texts.select(F.col("row").alias("lead"), F.col("doc_id").alias("lead_doc_id"), F.col("tokens").alias("lead_all"))
+    # dealt by row once; the joins on row below read the buckets and shuffle no texts
+    read_rows = maybe_in(rows, "row", wanted).mapInArrow(read, f"row long, doc_id {kind}, tokens binary")
+    texts, drop_texts = bucketed(read_rows, "row", lambda dealt: dealt.join(wanted, "row", "left_semi").dropDuplicates(["row"]))
 
     def piece(tokens: str, low: str, high: str):
         return F.substring(tokens, F.col(low).cast("int") * 4 + 1, (F.col(high) - F.col(low) + (2 - k)).cast("int") * 4)
@@ -332,7 +351,9 @@ def shared_passages(documents: DataFrame, config: PassageConfig = PassageConfig(
         pairs = written(pairs.mapInArrow(_merge, "row long, lead long, low long, high long, lead_low long, lead_high long"))
         # with the words around them, as a passage may begin or end with words that no agreeing window holds
         wide = pairs.withColumns({"from": F.greatest(F.col("low") - pad, F.lit(0)), "lead_from": F.greatest(F.col("lead_low") - pad, F.lit(0)), "to": F.col("high") + pad, "lead_to": F.col("lead_high") + pad})
-        one = wide.join(lead_texts, "lead").withColumn("lead_tokens", piece("lead_all", "lead_from", "lead_to")).drop("lead_all")
+        leads = written(texts.join(pairs.select(F.col("lead").alias("row")).distinct(), "row", "left_semi"))
+        leads = leads.select(F.col("row").alias("lead"), F.col("doc_id").alias("lead_doc_id"), F.col("tokens").alias("lead_all"))
+        one = wide.join(leads, "lead").withColumn("lead_tokens", piece("lead_all", "lead_from", "lead_to")).drop("lead_all")
         both = one.join(texts, "row").withColumn("own_tokens", piece("tokens", "from", "to")).drop("tokens")
         both = both.select("row", "doc_id", "lead", "lead_doc_id", "low", "high", "from", "lead_from", "own_tokens", "lead_tokens")
         got = written(both.mapInArrow(verify, f"row long, doc_id {kind}, lead_row long, lead_doc_id {kind}, low long, high long, inside boolean, {_FOUND}"))
@@ -369,7 +390,9 @@ def shared_passages(documents: DataFrame, config: PassageConfig = PassageConfig(
     whole = out[0]
     for more in out[1:]:
         whole = whole.unionByName(more)
-    return whole.dropDuplicates(["row", "lead_row", "first_word", "n_words"])
+    whole = written(whole.dropDuplicates(["row", "lead_row", "first_word", "n_words"]))
+    drop_texts()
+    return whole
 
 
 def cut_words(text: bytes, cuts: list[tuple[int, int]]) -> bytes:
