@@ -94,20 +94,78 @@ def test_lookup():
     assert (lm.Lookup.build(keys[:0]).find(keys) == -1).all()
 
 
-def test_gradient_step_lowers_the_loss():
-    rng = np.random.default_rng(3)
-    table = lm.Descent((50, 50), 4, 0.3)
-    rows, target = [rng.integers(0, 50, 400).astype(np.uint16) for _ in range(2)], rng.integers(0, 4, 400)
-    bias = np.zeros(4, np.float32)
-
-    def loss():
-        e = lm._exponentials(table.weights, rows, bias)
-        return -np.log(e[np.arange(400), target] / e.sum(axis=1)).mean()
-
-    before = loss()
-    for _ in range(30):
-        table.step(rows, target, bias)
-    assert loss() < 0.9 * before and table.met[0].sum() == 30 * 400
+def slow_features(got, kind, config):
+    """The hashed rows of each token, one at a time, from the definition of the features."""
+    mask = (1 << 64) - 1
+
+    def mixed(x, rows):
+        return int(lm.mix64(np.array([x & mask], np.uint64))[0]) % rows
+
+    (a, b, c, d), (e, _) = config.rows
+    out = []
+    for i in range(len(kind)):
+        begin = got.first[got.doc[i]]
+        one, two = (int(got.hash[i - j]) if i - j >= begin else int(lm.START) for j in (1, 2))
+        past = [int(kind[i - j]) if i - j >= begin else 0 for j in (1, 2, 3)]
+        trio = (past[0] * config.classes + past[1]) * config.classes + past[2] + 13
+        own = int(lm.mix64(np.array([int(kind[i]) + 101], np.uint64))[0])
+        out.append(([mixed(one, a), mixed(one * 5 + two, b), mixed(two + 7, c), mixed(trio, d)], [mixed(one ^ own, e), past[0] * config.classes + int(kind[i])]))
+    return out
+
+
+def softmax(bias, tables, rows):
+    z = np.array(bias, float) + sum(t[r].astype(float) for t, r in zip(tables, rows, strict=True))
+    e = np.exp(z - z.max())
+    return e / e.sum()
+
+
+def test_gradient_and_scores_against_brute_force(spark):
+    rows = [(i, prose(i % 25, 10 + i), None, None) for i in range(40)]
+    docs = documents(spark, rows)
+    model, counts = lm.learn(docs, SMALL)
+    texts = docs.repartition(5).selectExpr("cast(text as binary) as text")
+    observed, expected = lm.gradient(texts, model)
+    count = Counter(t for _, text, _, _ in rows for t in tokens(text))
+    want_o, want_e, by = [np.zeros(o.shape) for o in observed], [np.zeros(o.shape) for o in observed], {}
+    table = {int(w): int(n) for w, n in ((r["word"], r["n"]) for r in counts.collect())}
+    for i, text, _, _ in rows:
+        got = lm.tokens_of(pa.array([text]), SMALL.suffixes)
+        kind, member = model.places(got)
+        total = 0.0
+        for at, (of_class, of_member) in enumerate(slow_features(got, kind, SMALL)):
+            p = softmax(model.class_bias, model.class_weights, of_class)
+            q = softmax(model.member_bias[kind[at]], model.member_weights, of_member)
+            for t, row in enumerate(of_class):
+                want_o[t][row, kind[at]] += 1
+                want_e[t][row] += p
+            for t, row in enumerate(of_member):
+                want_o[4 + t][row, member[at]] += 1
+                want_e[4 + t][row] += q
+            total += math.log10(p[kind[at]] * q[member[at]])
+            if member[at] == SMALL.members - 1:
+                total += math.log10((table[int(got.hash[at : at + 1].view(np.int64)[0])] + 1) / model.rest_size[kind[at]])
+        by[i] = total
+    assert all((o == w).all() for o, w in zip(observed, want_o, strict=True))
+    assert all(np.allclose(e, w, rtol=1e-4, atol=1e-4) for e, w in zip(expected, want_e, strict=True))
+    assert sum(table.values()) == sum(count.values())
+    for r in lm.score(docs, model, counts).collect():
+        assert r["score"] == pytest.approx(by[r["doc_id"]], rel=1e-4)
+
+
+def test_weights_do_not_depend_on_the_number_of_tasks(spark):
+    docs = documents(spark, [(i, prose(i % 40, 20 + i % 90), None, None) for i in range(300)])
+    one, many = (lm.learn(docs.repartition(n, "doc_id"), SMALL)[0] for n in (1, 16))
+    for a, b in zip([*one.class_weights, *one.member_weights], [*many.class_weights, *many.member_weights], strict=True):
+        assert np.abs(a).max() > 0 and np.allclose(a, b, atol=1e-3)
+
+
+def test_each_update_lowers_the_loss(spark):
+    docs = documents(spark, [(i, " ".join(f"{'xq'[i % 2]}{(i * j * j) % 23}" for j in range(60)), None, None) for i in range(200)])
+    losses = []
+    for rounds in ((), (4,), (4, 4), (4, 4, 8)):
+        model, counts = lm.learn(docs, lm.LmConfig(classes=4, members=4, bits=10, head_words=64, rounds=rounds))
+        losses.append(-lm.score(docs, model, counts).agg({"score": "sum"}).first()[0])
+    assert losses == sorted(losses, reverse=True) and losses[-1] < 0.9 * losses[0]
 
 
 def test_edges(spark, edge, edge_rows, none_at_all):

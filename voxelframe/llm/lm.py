@@ -1,7 +1,7 @@
 """LM scoring by a hashed maximum-entropy model with a class-factored softmax.
 
 A token's probability is P(class | history) * P(member | class, history) *
-P(word | member).  Classes group words by their neighbours; a class has a few
+P(word | member).  Classes group words by their neighbours; a class has its
 frequent words as members of their own, and one member for all its other
 words, which share its mass by add-one counts.  The history enters through
 hashed features: the last word, the last two words, the last word but one
@@ -11,8 +11,15 @@ one place for unknown words in each class.
 
 Training goes over all training documents: (1) count all words; (2) sum
 random projections of the neighbours of the frequent words, which make the
-classes; (3) each task descends the gradient over its tokens from the common
-start, and the tasks' weights are averaged by how often each task met a row.
+classes; (3) distributed gradient updates.  The documents are dealt by hash
+into ``slices``, and ``rounds`` says how many slices each update takes, so that
+all together are one pass.  In an update, tasks add up for each feature how
+often each class or member was observed and how often the weights so far
+expect it; the sums of all tasks move the weights, which are sent out anew.
+Each coordinate's step is its gradient (observed less expected) divided by the
+logarithmic mean of the two, times ``rate``.  Results do not depend on the
+number of tasks, as only sums over documents enter.
+
 Counts of the ``table_words`` most frequent words are broadcast (a fixed size);
 rarer words are joined with the full table of counts.
 
@@ -23,11 +30,14 @@ equal in doc_id and text get equal results.  Extra columns are not read.
 
 from __future__ import annotations
 
+import dataclasses
+import pickle
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,21 +50,24 @@ START = np.uint64(0x9FB21C651E98DF25)
 
 @dataclass(frozen=True)
 class LmConfig:
-    classes: int = 16
-    members: int = 16
+    classes: int = 32
+    members: int = 64
     bits: int = 14
     head_words: int = 8192
     table_words: int = 1 << 20
     projections: int = 16
     suffixes: int = 8192
     batch: int = 8192
-    rate: float = 0.35
+    slices: int = 16
+    rounds: tuple[int, ...] = (2, 2, 4, 8)
+    rate: float = 0.5
+    prior: float = 1.0
 
     @property
     def rows(self) -> tuple[tuple[int, ...], tuple[int, ...]]:
         """Rows of each feature's weights for classes and for members; 65,536 at most."""
         words = 1 << self.bits
-        return (words, words, words, self.classes**3), (words, words)
+        return (words // 2, words, words // 2, words // 2), (words, self.classes**2)
 
 
 @dataclass
@@ -163,17 +176,17 @@ def count_words(texts: DataFrame, config: LmConfig) -> DataFrame:
         if held:
             yield send(flush(held))
 
-    rows = texts.mapInArrow(run, "word long, suffix int, n long")
+    rows = texts.select("text").mapInArrow(run, "word long, suffix int, n long")
     return rows.groupBy("word").agg(F.min("suffix").alias("suffix"), F.sum("n").alias("n"))
 
 
 def project_neighbours(texts: DataFrame, head: np.ndarray, config: LmConfig) -> np.ndarray:
     """For each word of ``head``, sums of signs drawn for the words before and after it."""
-    shared = texts.sparkSession.sparkContext.broadcast(Lookup.build(head))
+    shared = texts.sparkSession.sparkContext.broadcast(pack(Lookup.build(head)))
     size = config.projections
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, total = shared.value.find, np.zeros((len(head), size), np.int64)
+        find, total = pickle.loads(shared.value).find, np.zeros((len(head), size), np.int64)
         for batch in batches:
             for part in chunks(batch, "text"):
                 got = tokens_of(part.column("text"), config.suffixes)
@@ -190,7 +203,7 @@ def project_neighbours(texts: DataFrame, head: np.ndarray, config: LmConfig) ->
         used = np.flatnonzero(total.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(used), *[pa.array(total[used, j]) for j in range(size)]], ["row", *[f"p{j}" for j in range(size)]])
 
-    sums = texts.mapInArrow(run, "row long, " + ", ".join(f"p{j} long" for j in range(size)))
+    sums = texts.select("text").mapInArrow(run, "row long, " + ", ".join(f"p{j} long" for j in range(size)))
     got = sums.groupBy("row").agg(*[F.sum(f"p{j}").alias(f"p{j}") for j in range(size)]).toArrow()
     out = np.zeros((len(head), size))
     out[got.column("row").to_numpy()] = np.stack([got.column(f"p{j}").to_numpy() for j in range(size)], axis=1)
@@ -231,8 +244,8 @@ class LmModel:
     class_bias: np.ndarray
     member_bias: np.ndarray
     rest_size: np.ndarray  # tokens + words + 1 of each class's last member
-    class_weights: tuple[np.ndarray, ...] = ()
-    member_weights: tuple[np.ndarray, ...] = ()
+    class_weights: list[np.ndarray]
+    member_weights: list[np.ndarray]
 
     def places(self, got: Tokens) -> tuple[np.ndarray, np.ndarray]:
         """Class and member of each token."""
@@ -243,14 +256,14 @@ class LmModel:
 
     def features(self, got: Tokens, kind: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """Active row of each feature at each token, for its class and for its member."""
-        c, shift = self.config.classes, np.uint64(64 - self.config.bits)
+        c, (of_class, of_member) = self.config.classes, self.config.rows
         one, two = back(got.hash, got, 1, START), back(got.hash, got, 2, START)
-        row = lambda h: (mix64(h) >> shift).astype(np.uint16)
         past = [back(kind, got, j, 0) for j in (1, 2, 3)]
-        trio = ((past[0] * c + past[1]) * c + past[2]).astype(np.uint16)
+        trio = ((past[0] * c + past[1]) * c + past[2]).astype(np.uint64) + np.uint64(13)
         own = mix64(kind.astype(np.uint64) + np.uint64(101))
-        for_class = [row(one), row(one * np.uint64(5) + two), row(two + np.uint64(7)), trio]
-        return for_class, [row(one ^ own), row(past[0].astype(np.uint64) * np.uint64(1009) + own)]
+        hashes = [one, one * np.uint64(5) + two, two + np.uint64(7), trio, one ^ own]
+        for_class = [(mix64(h) % np.uint64(n)).astype(np.uint16) for h, n in zip(hashes, (*of_class, of_member[0]), strict=True)]
+        return for_class[:4], [for_class[4], (past[0] * c + kind).astype(np.uint16)]
 
 
 def _exponentials(weights: Sequence[np.ndarray], rows: list[np.ndarray], bias: np.ndarray) -> np.ndarray:
@@ -261,71 +274,110 @@ def _exponentials(weights: Sequence[np.ndarray], rows: list[np.ndarray], bias: n
     return np.exp(logits, out=logits)
 
 
-class Descent:
-    """Adaptive gradient steps on the weights of several features, by row."""
+class Sums:
+    """Observed and expected counts of each row of several features."""
+
+    def __init__(self, rows: tuple[int, ...], width: int):
+        self.width = width
+        self.observed = [np.zeros(n * width, np.int64) for n in rows]
+        self.expected = [np.zeros((n, width), np.float64) for n in rows]
 
-    def __init__(self, rows: tuple[int, ...], width: int, rate: float):
-        self.weights = [np.zeros((n, width), np.float32) for n in rows]
-        self.square = [np.full(n, 1e-3, np.float32) for n in rows]
-        self.met = [np.zeros(n, np.int64) for n in rows]
-        self.rate, self.ones = np.float32(rate), np.ones(width, np.float32)
+    def observe(self, rows: list[np.ndarray], target: np.ndarray) -> None:
+        for table, row in zip(self.observed, rows, strict=True):
+            table += np.bincount(row.astype(np.int64) * self.width + target, minlength=len(table))
 
-    def step(self, rows: list[np.ndarray], target: np.ndarray, bias: np.ndarray) -> None:
-        gradient = _exponentials(self.weights, rows, bias)
-        gradient /= (gradient @ self.ones)[:, None]
-        gradient[np.arange(len(target)), target] -= 1
-        for weights, square, met, row in zip(self.weights, self.square, self.met, rows, strict=True):
+    def expect(self, weights: list[np.ndarray], rows: list[np.ndarray], bias: np.ndarray) -> None:
+        p = _exponentials(weights, rows, bias)
+        p /= (p @ np.ones(self.width, np.float32))[:, None]
+        for table, row in zip(self.expected, rows, strict=True):
             order = np.argsort(row, kind="stable")
             ranked = row[order]
             first = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
-            at = ranked[first]
-            total = np.add.reduceat(gradient.take(order, axis=0), first, axis=0)
-            met[at] += np.diff(np.append(first, len(ranked)))
-            square[at] += np.einsum("ij,ij->i", total, total) / len(self.ones)
-            weights[at] -= (self.rate / np.sqrt(square[at]))[:, None] * total
+            table[ranked[first]] += np.add.reduceat(p.take(order, axis=0), first, axis=0)
 
 
-def train(texts: DataFrame, model: LmModel) -> LmModel:
-    """Local descent in every task, then the mean of each row, weighted by its tokens."""
-    config = model.config
-    shared = texts.sparkSession.sparkContext.broadcast(model)
-    width = max(config.classes, config.members)
-    rows = config.rows
-    bases = np.concatenate([[0], np.cumsum([*rows[0], *rows[1]])])
+def pack(model: object) -> bytes:
+    """For a broadcast: unlike a plain pickle, it needs no copy of this package where it is read."""
+    return cloudpickle.dumps(model)
+
+
+def gradient(texts: DataFrame, model: LmModel) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Observed and expected counts of all rows over ``texts``: classes' tables, then members'.
+
+    What a task sends, and what comes to the driver, is at most one pair of
+    counts for each weight; the number of tasks that send is bounded by the
+    cluster's cores.
+    """
+    spark, config = texts.sparkSession, model.config
+    light = dataclasses.replace(model, table=None, count=None)
+    shared = spark.sparkContext.broadcast(pack(light))
+    rows, widths = config.rows, (config.classes, config.members)
+    sizes = [(n, w) for group, w in zip(rows, widths, strict=True) for n in group]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        for_class, for_member = Descent(rows[0], config.classes, config.rate), Descent(rows[1], config.members, config.rate)
+        model = pickle.loads(shared.value)
+        sums = [Sums(group, w) for group, w in zip(rows, widths, strict=True)]
         for batch in batches:
             for part in chunks(batch, "text"):
                 got = tokens_of(part.column("text"), config.suffixes)
                 kind, member = model.places(got)
-                of_class, of_member = model.features(got, kind)
+                features = model.features(got, kind)
+                for s, f, target in zip(sums, features, (kind, member), strict=True):
+                    s.observe(f, target)
                 for low in range(0, len(kind), config.batch):
                     at = slice(low, low + config.batch)
-                    for_class.step([r[at] for r in of_class], kind[at], model.class_bias)
-                    for_member.step([r[at] for r in of_member], member[at], model.member_bias.take(kind[at], axis=0))
-        for base, weights, met in zip(bases, for_class.weights + for_member.weights, for_class.met + for_member.met, strict=False):
-            used = np.flatnonzero(met)
-            cells = np.zeros((len(used), width), np.float32)
-            cells[:, : weights.shape[1]] = weights[used] * met[used, None]
-            yield pa.RecordBatch.from_arrays([pa.array(used + base), pa.array(met[used]), *[pa.array(cells[:, j]) for j in range(width)]], ["row", "met", *[f"w{j}" for j in range(width)]])
-
-    sums = texts.mapInArrow(run, "row long, met long, " + ", ".join(f"w{j} float" for j in range(width)))
-    got = sums.groupBy("row").agg(F.sum("met").alias("met"), *[F.sum(f"w{j}").alias(f"w{j}") for j in range(width)]).toArrow()
-    whole = np.zeros((bases[-1], width), np.float32)
-    met = got.column("met").to_numpy()
-    if len(met):
-        whole[got.column("row").to_numpy()] = np.stack([got.column(f"w{j}").to_numpy() / met for j in range(width)], axis=1)
-    tables = [whole[a:b] for a, b in zip(bases[:-1], bases[1:], strict=True)]
-    model.class_weights = tuple(t[:, : config.classes].copy() for t in tables[: len(rows[0])])
-    model.member_weights = tuple(t[:, : config.members].copy() for t in tables[len(rows[0]) :])
+                    sums[0].expect(model.class_weights, [r[at] for r in features[0]], model.class_bias)
+                    sums[1].expect(model.member_weights, [r[at] for r in features[1]], model.member_bias.take(kind[at], axis=0))
+        tables = [(o.reshape(-1, s.width), e) for s in sums for o, e in zip(s.observed, s.expected, strict=True)]
+        for number, (observed, expected) in enumerate(tables):
+            for low in range(0, len(observed), 1024):  # a block of rows of a table
+                o, e = observed[low : low + 1024], expected[low : low + 1024]
+                used = np.flatnonzero(o.any(axis=1))
+                if len(used):
+                    cells = [used.astype(np.int16).tobytes(), o[used].astype(np.int32).tobytes(), e[used].astype(np.float32).tobytes()]
+                    yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([low], pa.int32()), *[pa.array([c], pa.binary()) for c in cells]], ["number", "low", "used", "observed", "expected"])
+
+    def add(table: pa.Table) -> pa.Table:
+        number, low = table.column("number")[0].as_py(), table.column("low")[0].as_py()
+        n, w = sizes[number]
+        o, e = np.zeros((min(1024, n - low), w), np.int64), np.zeros((min(1024, n - low), w))
+        for used, observed, expected in zip(*[table.column(c).to_pylist() for c in ("used", "observed", "expected")], strict=True):
+            at = np.frombuffer(used, np.int16)
+            o[at] += np.frombuffer(observed, np.int32).reshape(-1, w)
+            e[at] += np.frombuffer(expected, np.float32).reshape(-1, w)
+        return pa.table([pa.array([number], pa.int32()), pa.array([low], pa.int32()), pa.array([o.tobytes()], pa.binary()), pa.array([e.tobytes()], pa.binary())], ["number", "low", "observed", "expected"])
+
+    few = texts.coalesce(2 * spark.sparkContext.defaultParallelism)
+    sent = few.mapInArrow(run, "number int, low int, used binary, observed binary, expected binary")
+    got = sent.groupBy("number", "low").applyInArrow(add, "number int, low int, observed binary, expected binary").toArrow()
+    shared.unpersist()
+    observed, expected = ([np.zeros(s) for s in sizes] for _ in range(2))
+    for number, low, o, e in zip(*[got.column(c).to_pylist() for c in ("number", "low", "observed", "expected")], strict=True):
+        w = sizes[number][1]
+        o, e = np.frombuffer(o, np.int64).reshape(-1, w), np.frombuffer(e, np.float64).reshape(-1, w)
+        observed[number][low : low + len(o)], expected[number][low : low + len(e)] = o, e
+    return observed, expected
+
+
+def train(texts: DataFrame, model: LmModel) -> LmModel:
+    """One update of all weights for each of ``rounds``, over that many slices of the documents."""
+    config, low = model.config, 0
+    key = F.xxhash64("text", *(["doc_id"] if "doc_id" in texts.columns else []), F.lit("slice"))
+    slice_of = F.pmod(key, F.lit(config.slices))
+    for count in config.rounds:
+        part = texts.where((slice_of >= low) & (slice_of < low + count)).select("text")
+        low += count
+        observed, expected = gradient(part, model)
+        weights = [*model.class_weights, *model.member_weights]
+        moved = [(w + config.rate * np.log((o + config.prior) / (e + config.prior))).astype(np.float32) for w, o, e in zip(weights, observed, expected, strict=True)]
+        split = len(model.class_weights)
+        model = dataclasses.replace(model, class_weights=moved[:split], member_weights=moved[split:])
     return model
 
 
 def learn(texts: DataFrame, config: LmConfig = LmConfig()) -> tuple[LmModel | None, DataFrame]:
     """The model of the column ``text``, and the table of all counts."""
-    texts = texts.select(F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    texts = texts.select(*(["doc_id"] if "doc_id" in texts.columns else []), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
     counts = written(count_words(texts, config))
     total = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     if not total["v"]:
@@ -361,6 +413,7 @@ def learn(texts: DataFrame, config: LmConfig = LmConfig()) -> tuple[LmModel | No
     model = LmModel(
         config, int(total["n"]), int(total["v"]), Lookup.build(word), n.astype(np.int64), Lookup.build(head), kind, member, suffix_class,
         bias(mass.sum(axis=1)), bias(mass), mass[:, -1] + kinds[:, -1] + 1,
+        *[[np.zeros((n, width), np.float32) for n in rows] for rows, width in zip(config.rows, (config.classes, config.members), strict=True)],
     )
     return train(texts, model), counts
 
@@ -389,10 +442,10 @@ def score(documents: DataFrame, model: LmModel | None, counts: DataFrame) -> Dat
     kind = documents.schema["doc_id"].dataType.simpleString()
     text = F.coalesce("text", F.lit(""))
     rows = documents.select("doc_id", F.xxhash64("doc_id", text).alias("row"), text.cast("binary").alias("text"))
-    shared = documents.sparkSession.sparkContext.broadcast(model)
+    shared = documents.sparkSession.sparkContext.broadcast(pack(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        model = pickle.loads(shared.value)
         names = ["doc_id", "row", "n_tokens", "known", "base", "own", "words", "times", "kinds"]
         for batch in batches:
             for part in chunks(batch, "text", 1 << 20):
