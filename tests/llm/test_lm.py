@@ -124,7 +124,12 @@ def test_gradient_and_scores_against_brute_force(spark):
     docs = documents(spark, rows)
     model, counts = lm.learn(docs, SMALL)
     texts = docs.repartition(5).selectExpr("cast(text as binary) as text")
-    observed, expected = lm.gradient(texts, model)
+    sizes = [(n, 4) for group in SMALL.rows for n in group]
+    observed, expected = [np.zeros(n, int) for n in sizes], [np.zeros(n) for n in sizes]
+    for r in lm.gradient(texts, model).collect():
+        o, e = np.frombuffer(r["observed"], np.int64).reshape(-1, 4), np.frombuffer(r["expected"], np.float64).reshape(-1, 4)
+        observed[r["number"]][r["low"] : r["low"] + len(o)], expected[r["number"]][r["low"] : r["low"] + len(o)] = o, e
+    moves = lm.steps(lm.gradient(texts, model), SMALL)
     count = Counter(t for _, text, _, _ in rows for t in tokens(text))
     want_o, want_e, by = [np.zeros(o.shape) for o in observed], [np.zeros(o.shape) for o in observed], {}
     table = {int(w): int(n) for w, n in ((r["word"], r["n"]) for r in counts.collect())}
@@ -146,7 +151,9 @@ def test_gradient_and_scores_against_brute_force(spark):
                 total += math.log10((table[int(got.hash[at : at + 1].view(np.int64)[0])] + 1) / model.rest_size[kind[at]])
         by[i] = total
     assert all((o == w).all() for o, w in zip(observed, want_o, strict=True))
-    assert all(np.allclose(e, w, rtol=1e-4, atol=1e-4) for e, w in zip(expected, want_e, strict=True))
+    met = [w.any(axis=1) for w in want_o]  # counts are sent as roots of 16 bits
+    assert all(np.allclose(e[m], w[m], rtol=3e-3, atol=1e-4) for e, w, m in zip(expected, want_e, met, strict=True))
+    assert all(np.allclose(s[m], 0.5 * np.log((o + 1) / (w + 1))[m], atol=3e-3) for s, o, w, m in zip(moves, want_o, want_e, met, strict=True))
     assert sum(table.values()) == sum(count.values())
     for r in lm.score(docs, model, counts).collect():
         assert r["score"] == pytest.approx(by[r["doc_id"]], rel=1e-4)
@@ -156,7 +163,7 @@ def test_weights_do_not_depend_on_the_number_of_tasks(spark):
     docs = documents(spark, [(i, prose(i % 40, 20 + i % 90), None, None) for i in range(300)])
     one, many = (lm.learn(docs.repartition(n, "doc_id"), SMALL)[0] for n in (1, 16))
     for a, b in zip([*one.class_weights, *one.member_weights], [*many.class_weights, *many.member_weights], strict=True):
-        assert np.abs(a).max() > 0 and np.allclose(a, b, atol=1e-3)
+        assert np.abs(a).max() > 0 and np.allclose(a, b, atol=5e-3)
 
 
 def test_each_update_lowers_the_loss(spark):

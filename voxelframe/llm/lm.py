@@ -58,6 +58,7 @@ class LmConfig:
     projections: int = 16
     suffixes: int = 8192
     batch: int = 8192
+    summed: int = 1 << 15
     slices: int = 16
     rounds: tuple[int, ...] = (2, 2, 4, 8)
     rate: float = 0.5
@@ -275,25 +276,30 @@ def _exponentials(weights: Sequence[np.ndarray], rows: list[np.ndarray], bias: n
 
 
 class Sums:
-    """Observed and expected counts of each row of several features."""
+    """Observed and expected counts of each row of several features; one line for each class or member."""
 
     def __init__(self, rows: tuple[int, ...], width: int):
         self.width = width
         self.observed = [np.zeros(n * width, np.int64) for n in rows]
-        self.expected = [np.zeros((n, width), np.float64) for n in rows]
+        self.expected = [np.zeros((width, n)) for n in rows]
 
     def observe(self, rows: list[np.ndarray], target: np.ndarray) -> None:
         for table, row in zip(self.observed, rows, strict=True):
             table += np.bincount(row.astype(np.int64) * self.width + target, minlength=len(table))
 
     def expect(self, weights: list[np.ndarray], rows: list[np.ndarray], bias: np.ndarray) -> None:
-        p = _exponentials(weights, rows, bias)
-        p /= (p @ np.ones(self.width, np.float32))[:, None]
+        """weights and bias have a line for each class or member, too."""
+        rows = [r.astype(np.int64) for r in rows]
+        p = weights[0].take(rows[0], axis=1)
+        p += bias
+        for table, row in zip(weights[1:], rows[1:], strict=True):
+            p += table.take(row, axis=1)
+        np.clip(p, -60, 60, out=p)
+        np.exp(p, out=p)
+        p /= p.sum(axis=0)
         for table, row in zip(self.expected, rows, strict=True):
-            order = np.argsort(row, kind="stable")
-            ranked = row[order]
-            first = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
-            table[ranked[first]] += np.add.reduceat(p.take(order, axis=0), first, axis=0)
+            for line, share in zip(table, p, strict=True):
+                line += np.bincount(row, weights=share, minlength=len(line))
 
 
 def pack(model: object) -> bytes:
@@ -301,12 +307,11 @@ def pack(model: object) -> bytes:
     return cloudpickle.dumps(model)
 
 
-def gradient(texts: DataFrame, model: LmModel) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Observed and expected counts of all rows over ``texts``: classes' tables, then members'.
+def gradient(texts: DataFrame, model: LmModel) -> DataFrame:
+    """(number, low, observed, expected): counts over ``texts`` of blocks of rows of the classes' tables, then the members'.
 
-    What a task sends, and what comes to the driver, is at most one pair of
-    counts for each weight; the number of tasks that send is bounded by the
-    cluster's cores.
+    A task sends at most one pair of counts for each weight; the number of
+    tasks that send is bounded by the cluster's cores.
     """
     spark, config = texts.sparkSession, model.config
     light = dataclasses.replace(model, table=None, count=None)
@@ -317,6 +322,8 @@ def gradient(texts: DataFrame, model: LmModel) -> tuple[list[np.ndarray], list[n
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pickle.loads(shared.value)
         sums = [Sums(group, w) for group, w in zip(rows, widths, strict=True)]
+        class_weights, member_weights = ([np.ascontiguousarray(w.T) for w in side] for side in (model.class_weights, model.member_weights))
+        class_bias, member_bias = model.class_bias[:, None], np.ascontiguousarray(model.member_bias.T)
         for batch in batches:
             for part in chunks(batch, "text"):
                 got = tokens_of(part.column("text"), config.suffixes)
@@ -324,17 +331,17 @@ def gradient(texts: DataFrame, model: LmModel) -> tuple[list[np.ndarray], list[n
                 features = model.features(got, kind)
                 for s, f, target in zip(sums, features, (kind, member), strict=True):
                     s.observe(f, target)
-                for low in range(0, len(kind), config.batch):
-                    at = slice(low, low + config.batch)
-                    sums[0].expect(model.class_weights, [r[at] for r in features[0]], model.class_bias)
-                    sums[1].expect(model.member_weights, [r[at] for r in features[1]], model.member_bias.take(kind[at], axis=0))
-        tables = [(o.reshape(-1, s.width), e) for s in sums for o, e in zip(s.observed, s.expected, strict=True)]
+                for low in range(0, len(kind), config.summed):
+                    at = slice(low, low + config.summed)
+                    sums[0].expect(class_weights, [r[at] for r in features[0]], class_bias)
+                    sums[1].expect(member_weights, [r[at] for r in features[1]], member_bias.take(kind[at], axis=1))
+        tables = [(o.reshape(-1, s.width), e.T) for s in sums for o, e in zip(s.observed, s.expected, strict=True)]
         for number, (observed, expected) in enumerate(tables):
             for low in range(0, len(observed), 1024):  # a block of rows of a table
                 o, e = observed[low : low + 1024], expected[low : low + 1024]
                 used = np.flatnonzero(o.any(axis=1))
                 if len(used):
-                    cells = [used.astype(np.int16).tobytes(), o[used].astype(np.int32).tobytes(), e[used].astype(np.float32).tobytes()]
+                    cells = [used.astype(np.int16).tobytes(), o[used].astype(np.int32).tobytes(), np.sqrt(e[used]).astype(np.float16).tobytes()]
                     yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([low], pa.int32()), *[pa.array([c], pa.binary()) for c in cells]], ["number", "low", "used", "observed", "expected"])
 
     def add(table: pa.Table) -> pa.Table:
@@ -344,19 +351,30 @@ def gradient(texts: DataFrame, model: LmModel) -> tuple[list[np.ndarray], list[n
         for used, observed, expected in zip(*[table.column(c).to_pylist() for c in ("used", "observed", "expected")], strict=True):
             at = np.frombuffer(used, np.int16)
             o[at] += np.frombuffer(observed, np.int32).reshape(-1, w)
-            e[at] += np.frombuffer(expected, np.float32).reshape(-1, w)
+            e[at] += np.frombuffer(expected, np.float16).reshape(-1, w).astype(np.float64) ** 2
         return pa.table([pa.array([number], pa.int32()), pa.array([low], pa.int32()), pa.array([o.tobytes()], pa.binary()), pa.array([e.tobytes()], pa.binary())], ["number", "low", "observed", "expected"])
 
-    few = texts.coalesce(2 * spark.sparkContext.defaultParallelism)
+    few = texts.coalesce(4 * spark.sparkContext.defaultParallelism)
     sent = few.mapInArrow(run, "number int, low int, used binary, observed binary, expected binary")
-    got = sent.groupBy("number", "low").applyInArrow(add, "number int, low int, observed binary, expected binary").toArrow()
-    shared.unpersist()
-    observed, expected = ([np.zeros(s) for s in sizes] for _ in range(2))
-    for number, low, o, e in zip(*[got.column(c).to_pylist() for c in ("number", "low", "observed", "expected")], strict=True):
-        w = sizes[number][1]
-        o, e = np.frombuffer(o, np.int64).reshape(-1, w), np.frombuffer(e, np.float64).reshape(-1, w)
-        observed[number][low : low + len(o)], expected[number][low : low + len(e)] = o, e
-    return observed, expected
+    return sent.groupBy("number", "low").applyInArrow(add, "number int, low int, observed binary, expected binary")
+
+
+def steps(counts: DataFrame, config: LmConfig) -> list[np.ndarray]:
+    """How far the weights of each table move; the driver gets one number for each weight."""
+    sizes = [(n, w) for group, w in zip(config.rows, (config.classes, config.members), strict=True) for n in group]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = zip(*[batch.column(c).to_pylist() for c in ("observed", "expected")], strict=True)
+            moves = [config.rate * np.log((np.frombuffer(o, np.int64) + config.prior) / (np.frombuffer(e, np.float64) + config.prior)) for o, e in pairs]
+            yield pa.RecordBatch.from_arrays([batch.column("number"), batch.column("low"), pa.array([m.astype(np.float32).tobytes() for m in moves], pa.binary())], ["number", "low", "step"])
+
+    out = [np.zeros(s, np.float32) for s in sizes]
+    got = counts.mapInArrow(run, "number int, low int, step binary").toArrow()
+    for number, low, step in zip(*[got.column(c).to_pylist() for c in ("number", "low", "step")], strict=True):
+        moved = np.frombuffer(step, np.float32).reshape(-1, sizes[number][1])
+        out[number][low : low + len(moved)] = moved
+    return out
 
 
 def train(texts: DataFrame, model: LmModel) -> LmModel:
@@ -367,9 +385,8 @@ def train(texts: DataFrame, model: LmModel) -> LmModel:
     for count in config.rounds:
         part = texts.where((slice_of >= low) & (slice_of < low + count)).select("text")
         low += count
-        observed, expected = gradient(part, model)
-        weights = [*model.class_weights, *model.member_weights]
-        moved = [(w + config.rate * np.log((o + config.prior) / (e + config.prior))).astype(np.float32) for w, o, e in zip(weights, observed, expected, strict=True)]
+        moves = steps(gradient(part, model), config)
+        moved = [w + m for w, m in zip([*model.class_weights, *model.member_weights], moves, strict=True)]
         split = len(model.class_weights)
         model = dataclasses.replace(model, class_weights=moved[:split], member_weights=moved[split:])
     return model
