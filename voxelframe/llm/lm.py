@@ -31,13 +31,11 @@ equal in doc_id and text get equal results.  Extra columns are not read.
 from __future__ import annotations
 
 import dataclasses
-import pickle
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,14 +49,14 @@ START = np.uint64(0x9FB21C651E98DF25)
 @dataclass(frozen=True)
 class LmConfig:
     classes: int = 32
-    members: int = 64
+    members: int = 48
     bits: int = 14
     head_words: int = 8192
     table_words: int = 1 << 20
     projections: int = 16
     suffixes: int = 8192
     batch: int = 8192
-    summed: int = 1 << 15
+    summed: int = 1 << 14
     slices: int = 16
     rounds: tuple[int, ...] = (2, 2, 4, 8)
     rate: float = 0.5
@@ -183,11 +181,11 @@ def count_words(texts: DataFrame, config: LmConfig) -> DataFrame:
 
 def project_neighbours(texts: DataFrame, head: np.ndarray, config: LmConfig) -> np.ndarray:
     """For each word of ``head``, sums of signs drawn for the words before and after it."""
-    shared = texts.sparkSession.sparkContext.broadcast(pack(Lookup.build(head)))
+    shared = texts.sparkSession.sparkContext.broadcast(plain(Lookup.build(head)))
     size = config.projections
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, total = pickle.loads(shared.value).find, np.zeros((len(head), size), np.int64)
+        find, total = Lookup(**shared.value).find, np.zeros((len(head), size), np.int64)
         for batch in batches:
             for part in chunks(batch, "text"):
                 got = tokens_of(part.column("text"), config.suffixes)
@@ -302,25 +300,36 @@ class Sums:
                 line += np.bincount(row, weights=share, minlength=len(line))
 
 
-def pack(model: object) -> bytes:
-    """For a broadcast: unlike a plain pickle, it needs no copy of this package where it is read."""
-    return cloudpickle.dumps(model)
+def plain(model: LmModel | Lookup | None):
+    """For a broadcast: unlike an instance, it needs no copy of this package where it is read."""
+    if not dataclasses.is_dataclass(model):
+        return model
+    return {f.name: plain(getattr(model, f.name)) for f in dataclasses.fields(model)}
+
+
+def restored(fields: dict | None) -> LmModel | None:
+    if fields is None:
+        return None
+    lookup = lambda name: fields[name] and Lookup(**fields[name])
+    return LmModel(**fields | {"config": LmConfig(**fields["config"]), "table": lookup("table"), "head": lookup("head")})
 
 
 def gradient(texts: DataFrame, model: LmModel) -> DataFrame:
-    """(number, low, observed, expected): counts over ``texts`` of blocks of rows of the classes' tables, then the members'.
+    """(number, low, observed, expected, step) of blocks of rows of the classes' tables, then the members'.
+
+    The counts over ``texts``, and how far the weights move for them.
 
     A task sends at most one pair of counts for each weight; the number of
     tasks that send is bounded by the cluster's cores.
     """
     spark, config = texts.sparkSession, model.config
     light = dataclasses.replace(model, table=None, count=None)
-    shared = spark.sparkContext.broadcast(pack(light))
+    shared = spark.sparkContext.broadcast(plain(light))
     rows, widths = config.rows, (config.classes, config.members)
     sizes = [(n, w) for group, w in zip(rows, widths, strict=True) for n in group]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = pickle.loads(shared.value)
+        model = restored(shared.value)
         sums = [Sums(group, w) for group, w in zip(rows, widths, strict=True)]
         class_weights, member_weights = ([np.ascontiguousarray(w.T) for w in side] for side in (model.class_weights, model.member_weights))
         class_bias, member_bias = model.class_bias[:, None], np.ascontiguousarray(model.member_bias.T)
@@ -352,25 +361,19 @@ def gradient(texts: DataFrame, model: LmModel) -> DataFrame:
             at = np.frombuffer(used, np.int16)
             o[at] += np.frombuffer(observed, np.int32).reshape(-1, w)
             e[at] += np.frombuffer(expected, np.float16).reshape(-1, w).astype(np.float64) ** 2
-        return pa.table([pa.array([number], pa.int32()), pa.array([low], pa.int32()), pa.array([o.tobytes()], pa.binary()), pa.array([e.tobytes()], pa.binary())], ["number", "low", "observed", "expected"])
+        step = (config.rate * np.log((o + config.prior) / (e + config.prior))).astype(np.float32)
+        return pa.table([pa.array([number], pa.int32()), pa.array([low], pa.int32()), *[pa.array([x.tobytes()], pa.binary()) for x in (o, e, step)]], ["number", "low", "observed", "expected", "step"])
 
     few = texts.coalesce(4 * spark.sparkContext.defaultParallelism)
     sent = few.mapInArrow(run, "number int, low int, used binary, observed binary, expected binary")
-    return sent.groupBy("number", "low").applyInArrow(add, "number int, low int, observed binary, expected binary")
+    return sent.groupBy("number", "low").applyInArrow(add, "number int, low int, observed binary, expected binary, step binary")
 
 
 def steps(counts: DataFrame, config: LmConfig) -> list[np.ndarray]:
     """How far the weights of each table move; the driver gets one number for each weight."""
     sizes = [(n, w) for group, w in zip(config.rows, (config.classes, config.members), strict=True) for n in group]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            pairs = zip(*[batch.column(c).to_pylist() for c in ("observed", "expected")], strict=True)
-            moves = [config.rate * np.log((np.frombuffer(o, np.int64) + config.prior) / (np.frombuffer(e, np.float64) + config.prior)) for o, e in pairs]
-            yield pa.RecordBatch.from_arrays([batch.column("number"), batch.column("low"), pa.array([m.astype(np.float32).tobytes() for m in moves], pa.binary())], ["number", "low", "step"])
-
     out = [np.zeros(s, np.float32) for s in sizes]
-    got = counts.mapInArrow(run, "number int, low int, step binary").toArrow()
+    got = counts.select("number", "low", "step").toArrow()
     for number, low, step in zip(*[got.column(c).to_pylist() for c in ("number", "low", "step")], strict=True):
         moved = np.frombuffer(step, np.float32).reshape(-1, sizes[number][1])
         out[number][low : low + len(moved)] = moved
@@ -459,10 +462,10 @@ def score(documents: DataFrame, model: LmModel | None, counts: DataFrame) -> Dat
     kind = documents.schema["doc_id"].dataType.simpleString()
     text = F.coalesce("text", F.lit(""))
     rows = documents.select("doc_id", F.xxhash64("doc_id", text).alias("row"), text.cast("binary").alias("text"))
-    shared = documents.sparkSession.sparkContext.broadcast(pack(model))
+    shared = documents.sparkSession.sparkContext.broadcast(plain(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = pickle.loads(shared.value)
+        model = restored(shared.value)
         names = ["doc_id", "row", "n_tokens", "known", "base", "own", "words", "times", "kinds"]
         for batch in batches:
             for part in chunks(batch, "text", 1 << 20):
