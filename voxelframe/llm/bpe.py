@@ -11,7 +11,12 @@ pair is then applied first, before the rest of the current rank.
 Defined results: a null text is empty and has no tokens; a row is encoded
 alone, so repeated rows get equal results; a piece that is a token itself is
 one id.  Extra columns are not read.  Memory is bounded by one batch of texts,
-``CACHE`` pieces and the longest text.
+twice ``CACHE`` pieces and the longest text.
+
+A worker process keeps its tables and the pieces it met for all its tasks.
+Pieces are not first made distinct over the whole corpus: to look them up there
+would take a second pass of the pattern over all texts, which costs about as
+much as the merges (see the README's figures).
 """
 
 from __future__ import annotations
@@ -28,7 +33,7 @@ from pyspark.sql import DataFrame
 
 from .textbatch import chunks
 
-CACHE = 250_000
+CACHE = 200_000
 #: Text whose distinct pieces are merged together: each rank is one step, so more is cheaper.
 PIECE_BYTES = 3 << 20
 
@@ -175,6 +180,7 @@ class Encoder:
         self.replay = MergeReplay(ranks)
         self.find = regex.compile(pattern).findall
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def encode_batch(self, texts: list[str | None]) -> Iterator[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
@@ -183,9 +189,15 @@ class Encoder:
         for pieces in found:
             new.update(pieces)
         if len(self.known) > CACHE:
-            self.known.clear()
-        fresh = [p for p in new if p not in self.known]
-        known = self.known
+            self.older, self.known = self.known, {}  # pieces met since then move on, the rest goes at the next turn
+        known, older = self.known, self.older
+        fresh = []
+        for piece in new:
+            if piece not in known:
+                if (ids := older.get(piece)) is not None:
+                    known[piece] = ids
+                else:
+                    fresh.append(piece)
         for piece, ids in zip(fresh, self.replay.encode([p.encode() for p in fresh]), strict=True):
             known[piece] = np.array(ids, "<u4").tobytes()
         for pieces in found:
@@ -195,9 +207,16 @@ class Encoder:
         return self.replay.decode(np.frombuffer(ids, "<u4").tolist())
 
 
-def _by_batch(ranks, pattern: str, finish: Callable[[Encoder, bytes], tuple], names: list[str], types: list[pa.DataType], keep: list[str]):
+def _encoder(shared: dict, pattern: str) -> Encoder:
+    """Of this worker process: a broadcast value lives as long as the process does."""
+    if pattern not in shared["encoders"]:
+        shared["encoders"][pattern] = Encoder(shared["ranks"], pattern)
+    return shared["encoders"][pattern]
+
+
+def _by_batch(shared, pattern: str, finish: Callable[[Encoder, bytes], tuple], names: list[str], types: list[pa.DataType], keep: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(ranks.value, pattern)
+        encoder = _encoder(shared.value, pattern)
         for batch in batches:
             for part in chunks(batch, "text", PIECE_BYTES):
                 rows = [finish(encoder, ids) for ids in encoder.encode_batch(part.column("text").to_pylist())]
@@ -213,14 +232,14 @@ def _digests(encoder: Encoder, ids: bytes) -> tuple[int, str, str]:
 
 def token_digests(documents: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of each whole text."""
-    shared = documents.sparkSession.sparkContext.broadcast(ranks)
+    shared = documents.sparkSession.sparkContext.broadcast({"ranks": ranks, "encoders": {}})
     run = _by_batch(shared, pattern, _digests, ["n_tokens", "ids_sha256", "decoded_sha256"], [pa.int64(), pa.string(), pa.string()], ["doc_id"])
     return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def encode(documents: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
     """doc_id and the ids of each text: what a trainer reads."""
-    shared = documents.sparkSession.sparkContext.broadcast(ranks)
+    shared = documents.sparkSession.sparkContext.broadcast({"ranks": ranks, "encoders": {}})
     run = _by_batch(shared, pattern, lambda _, ids: (np.frombuffer(ids, "<u4").astype(np.int32),), ["ids"], [pa.list_(pa.int32())], ["doc_id"])
     return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, ids array<int>")
 
