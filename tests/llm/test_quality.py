@@ -71,3 +71,41 @@ def test_edges(spark, edge, edge_rows, none_at_all):
     assert kept.columns == edge.columns and kept.schema == edge.schema
     assert quality.reject_low_quality(none_at_all).count() == 0
     assert quality.learn_references(none_at_all).names == ()
+
+
+def test_verdicts_against_brute_force(spark):
+    """``kept`` again from texts alone: references, histograms, distances and limits."""
+    texts = [prose(i, 45 + i) for i in range(50)] + [prose(200 + i, 70).upper() for i in range(3)] + [" ".join("$" + w for w in prose(300, 90).split())]
+    docs = documents(spark, [(i, t, "en" if i % 2 else "fr", "a") for i, t in enumerate(texts)])
+    rules = quality.QualityRules(common_words=8, judge_from_words=60)
+    got = {r["doc_id"]: r for r in quality.with_quality(docs, ["doc_id"], quality.learn_references(docs, rules), rules).collect()}
+    words = {i: re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t)) for i, t in enumerate(texts)}
+    kinds = quality.byte_classes()
+    classes = {i: np.bincount(kinds[np.frombuffer(t.encode(), np.uint8)], minlength=10)[: quality.CLASSES].astype(float) for i, t in enumerate(texts)}
+
+    def distance(p, q):
+        p, q = p / p.sum(), q / q.sum()
+        m = (p + q) / 2
+        kl = lambda x: sum(a * np.log2(a / b) for a, b in zip(x, m, strict=True) if a)
+        return np.sqrt(max(0.0, (kl(p) + kl(q)) / 2))
+
+    from voxelframe.llm.textbatch import Words, text_buffer
+    import pyarrow as pa
+
+    key = {w: int(Words(*text_buffer(pa.array([w]))).hash[0] >> np.uint64(8)) for ws in words.values() for w in ws}  # ties go by hash
+    near = {i: [1.0, 1.0] for i in words}
+    for parity in (0, 1):
+        own = [i for i in words if i % 2 == parity]
+        counts = Counter(w for i in own for w in words[i])
+        common = sorted(counts, key=lambda w: (-counts[w], key[w]))[:8]
+        of_words = np.array([counts[w] for w in common] + [sum(counts.values()) - sum(counts[w] for w in common)], float)
+        of_classes = sum(classes[i] for i in own)
+        for i, ws in words.items():
+            mine = Counter(w if w in common else None for w in ws)
+            near[i][0] = min(near[i][0], distance(classes[i], of_classes))
+            near[i][1] = min(near[i][1], distance(np.array([mine[w] for w in common] + [mine[None]], float), of_words))
+    for i, text in enumerate(texts):
+        assert (got[i]["class_distance"], got[i]["word_distance"]) == pytest.approx(near[i], abs=1e-6)
+        odd = len(words[i]) >= 60 and (near[i][0] > rules.class_distance or near[i][1] > rules.word_distance)
+        assert got[i]["kept"] == (not brute(text)[-1] and not odd)
+    assert 0 < sum(r["kept"] for r in got.values()) < len(texts)

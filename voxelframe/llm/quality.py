@@ -5,7 +5,9 @@ distance of two histograms: its character classes, and its common words
 (the most frequent words of each language, and all others as one bin).  The
 references cover all documents.  A document fails if its distance from the
 nearest language's character classes or common words is above a limit; texts
-of few words are not judged by their histograms, as these say little.
+of fewer than ``judge_from_words`` words are not judged by their histograms, as
+these say little.  With the rules as they are, that guard is the base rule's
+limit of 50 words: shorter texts fail by that, and are not looked at further.
 
 Defined results: a null text has no words and fails the base rule; a row is
 judged alone, so repeated rows get equal results; documents without a language
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import set_aside
+from .store import set_aside, written
 from .textbatch import Words, chunks, mix64, text_buffer
 
 #: Character classes of a byte (fixed values): 0 lower case, 1 upper case,
@@ -82,24 +84,44 @@ class References:
     shares: tuple[np.ndarray, ...]
 
 
+#: Counts that a task holds before it sends them.
+HELD = 500_000
+
+
+def _combined(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    word, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+    word, at = np.unique(word, return_inverse=True)
+    return word, np.bincount(at, weights=n, minlength=len(word)).astype(np.int64)
+
+
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, word, n): words of a piece of a partition, counted.
+    """(lang, word, n): words of a partition, counted; a language's counts are sent when they are many.
 
     ``word`` -1-k of class k carries the counts of character classes.
     """
+    held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+
+    def send(name: str) -> pa.RecordBatch:
+        values, counts = _combined(held.pop(name))
+        return pa.RecordBatch.from_arrays([pa.array([name] * len(values), pa.string()), pa.array(values, pa.int64()), pa.array(counts, pa.int64())], ["lang", "word", "n"])
+
     for batch in batches:
         for part in chunks(batch, "text", 1 << 20):
             codes = part.column("lang").dictionary_encode()
             lang = codes.indices.to_numpy(zero_copy_only=False).astype(np.int64)
             data, offsets = text_buffer(part.column("text"))
             words = Words(data, offsets, lower=True)
-            key = (words.hash >> np.uint64(8)).astype(np.int64)
+            key, classes = (words.hash >> np.uint64(8)).astype(np.int64), class_counts(data, offsets)
             for k, name in enumerate(codes.dictionary.to_pylist()):
                 values, counts = np.unique(key[lang[words.doc] == k], return_counts=True)
-                total = class_counts(data, offsets)[lang == k].sum(axis=0)
-                values = np.concatenate([values, -1 - np.arange(CLASSES)])
-                counts = np.concatenate([counts, total])
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(values), pa.string()), pa.array(values, pa.int64()), pa.array(counts, pa.int64())], ["lang", "word", "n"])
+                own = held.setdefault(name, [])
+                own.append((np.concatenate([values, -1 - np.arange(CLASSES)]), np.concatenate([counts, classes[lang == k].sum(axis=0)])))
+            if sum(len(v) for parts in held.values() for v, _ in parts) > 2 * HELD:
+                held = {name: [_combined(parts)] for name, parts in held.items()}
+                while sum(len(parts[0][0]) for parts in held.values()) > HELD:
+                    yield send(max(held, key=lambda n: len(held[n][0][0])))
+    for name in list(held):
+        yield send(name)
 
 
 def learn_references(documents: DataFrame, rules: QualityRules = QualityRules()) -> References:
@@ -109,6 +131,7 @@ def learn_references(documents: DataFrame, rules: QualityRules = QualityRules())
     """
     rows = documents.where("lang is not null").select("lang", F.col("text").cast("binary").alias("text"))
     counts = rows.mapInArrow(_count_words, "lang string, word long, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    counts = written(counts)
     # a salted top-k: no task ranks all words of a language
     salted = Window.partitionBy("lang", F.pmod("word", F.lit(64)), F.col("word") < 0).orderBy(F.desc("n"), "word")
     top = Window.partitionBy("lang", F.col("word") < 0).orderBy(F.desc("n"), "word")
