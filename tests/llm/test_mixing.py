@@ -102,3 +102,41 @@ def test_mixed_documents_are_whole_and_near_target(spark):
         words[r["source"]] = words.get(r["source"], 0) + len(r["text"].split())
     for source, n in words.items():
         assert abs(n - target[source]) <= 40
+
+
+def test_query_rows_go_by_position(spark):
+    docs = documents(spark, [(i, prose(i, 20), "en", "ab"[i % 2]) for i in range(300)])
+    got = mixing.by_first_position(mixing.mix(docs)).collect()
+    first = [r["first_position"] for r in got]
+    known = [p for p in first if p is not None]
+    assert len(got) == 300 and first[: len(known)] == known == sorted(known)
+    assert all((r["positions"][:1] or [None])[0] == r["first_position"] for r in got)
+
+
+def test_written_mix_goes_by_position(spark, tmp_path):
+    """The files of the mix, read in order, hold a fading source early and a growing one late."""
+    docs = documents(spark, [(i, prose(i, 30), "en", "abc"[i % 3]) for i in range(600)])
+    mixing.mixed_documents(docs).write.parquet(str(tmp_path / "mix"))
+    order = {r["doc_id"]: r["positions"] for r in mixing.mix(docs).collect()}
+    names = sorted(p.name for p in (tmp_path / "mix").iterdir() if p.name.startswith("part"))
+    ids = [r["doc_id"] for n in names for r in spark.read.parquet(str(tmp_path / "mix" / n)).coalesce(1).collect()]
+    met, places = {}, []
+    for i in ids:
+        places.append(order[i][met.get(i, 0)])
+        met[i] = met.get(i, 0) + 1
+    assert len(ids) > 600 and places == sorted(places)
+
+
+def test_the_number_of_ranges_does_not_matter(spark):
+    docs = documents(spark, [(i, prose(i, 5 + i % 40), "en", "ab"[i % 2]) for i in range(200)])
+    few, many = ({r["doc_id"]: (r["taken"], r["positions"]) for r in mixing.mix(docs, bits=b).collect()} for b in (1, 9))
+    assert few == many
+
+
+def test_columns_of_any_type_and_equal_rows(spark):
+    rows = [(str(i // 2), prose(i // 2, 40), {"k": i // 2}, [{"x": 1}], "a") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, facts map<string,int>, more array<struct<x:int>>, source string")
+    got = mixing.mixed_documents(docs)
+    assert got.schema == docs.schema
+    taken = sum(r["taken"] for r in mixing.mix(docs).collect())
+    assert abs(sum(len(r["text"].split()) for r in got.collect()) - taken) <= 60

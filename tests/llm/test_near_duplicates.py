@@ -139,3 +139,11 @@ def test_edges(spark, edge, edge_rows, none_at_all):
     assert left.columns == edge.columns
     assert Counter(r["doc_id"] for r in left.collect())[9] == 1
     assert neardup.classes(none_at_all).count() == 0 and neardup.keep_one_of_each(none_at_all).count() == 0
+
+
+def test_the_row_that_stays_is_the_same_each_time(spark):
+    rows = [(1, prose(1, 60), {"n": i}) for i in range(12)] + [(2, prose(1, 60) + " end", {"n": 9})]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, facts map<string,int>")
+    kept = [neardup.keep_one_of_each(docs.repartition(n)).collect() for n in (1, 5, 9)]
+    assert all(len(k) == 1 and k[0]["doc_id"] == 1 for k in kept)
+    assert len({str(k[0]["facts"]) for k in kept}) == 1

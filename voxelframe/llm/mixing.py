@@ -9,17 +9,19 @@ by those positions.  Everything here is DataFrame expressions.
 Defined results: a null text has size 0 and takes nothing; a null source is a
 source of its own and comes last; rows with the same doc_id are told apart by
 a hash of the whole row, and equal rows share a bucket in any order (they are
-the same row); an empty table gives an empty mix.  Extra columns are not read.
+the same row); an empty table gives an empty mix.  Extra columns do not shape
+the mix; ``mixed_documents`` hashes them to tell rows apart.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import set_aside, written
+from .store import row_hash, set_aside, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 Schedule = Sequence[tuple[float, float]]
@@ -33,7 +35,6 @@ SCHEDULES: tuple[Schedule, ...] = (
 )
 SHARE = 1.5
 LIMIT = 2.0
-BUCKETS = 256
 
 
 def integral(schedule: Schedule) -> float:
@@ -87,7 +88,7 @@ def source_targets(sizes: DataFrame, schedules: Sequence[Schedule] = SCHEDULES,
     return filled.select("source", "source_size", "rank", "kind", target.alias("target"))
 
 
-def mix(documents: DataFrame, schedules: Sequence[Schedule] = SCHEDULES, share: float = SHARE, limit: float = LIMIT, buckets: int = BUCKETS, columns: Sequence[str] = ()) -> DataFrame:
+def mix(documents: DataFrame, schedules: Sequence[Schedule] = SCHEDULES, share: float = SHARE, limit: float = LIMIT, bits: int | None = None, columns: Sequence[str] = ()) -> DataFrame:
     """One row per document: how many of its words the mix takes, and when.
 
     Columns: doc_id, source, *columns*, size, source_size, target, taken
@@ -96,12 +97,15 @@ def mix(documents: DataFrame, schedules: Sequence[Schedule] = SCHEDULES, share:
     Within a source, documents follow a hash order.  A pass over the source
     takes them in that order until the target is reached; the last document
     of a budget is taken in part.  The running size comes from sums of
-    ``buckets`` hash ranges for each source, so no task holds a source.
+    2 ** ``bits`` hash ranges for each source (by default several for each
+    shuffle partition), so no task holds a source.  The order is that of the
+    hash alone, whatever the number of ranges.
     """
+    bits = bits or max(8, math.ceil(math.log2(4 * int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")))))
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
-    order = F.xxhash64("doc_id", "text", "source", F.lit("mix"))
+    order = F.shiftrightunsigned(F.xxhash64("doc_id", "text", "source", F.lit("mix")), 1)
     rows = documents.select("doc_id", "source", *columns, size.alias("size"), order.alias("_order"))
-    rows = written(rows.withColumn("_bucket", F.pmod(F.shiftrightunsigned("_order", 40), F.lit(buckets)).cast("int")))
+    rows = written(rows.withColumn("_bucket", F.shiftright("_order", 63 - bits).cast("int")))
     sums = rows.groupBy("source", "_bucket").agg(F.sum("size").alias("_sum"))
     running = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.withColumn("_start", F.coalesce(F.sum("_sum").over(running), F.lit(0))).drop("_sum")
@@ -135,29 +139,44 @@ def mix(documents: DataFrame, schedules: Sequence[Schedule] = SCHEDULES, share:
     return used.select("doc_id", "source", *columns, "size", "source_size", "target", taken.alias("taken"), F.transform("_passes", time).alias("positions"), F.transform("_passes", lambda p: p["words"]).alias("words"))
 
 
+def in_position_order(rows: DataFrame, *keys: str, partitions: int | None = None) -> DataFrame:
+    """Range-sorted: rows of all files in a row are in the order of ``keys``."""
+    spread = rows.repartitionByRange(partitions, *keys) if partitions else rows.repartitionByRange(*keys)
+    return spread.sortWithinPartitions(*keys)
+
+
 def training_order(mixed: DataFrame, partitions: int | None = None) -> DataFrame:
     """One row for each pass over a document, range-sorted by training position."""
     passes = mixed.withColumn("_pass", F.explode(F.arrays_zip("positions", "words")))
     passes = passes.withColumn("position", F.col("_pass.positions")).withColumn("pass_words", F.col("_pass.words")).drop("_pass", "positions", "words")
-    keys = ["position", "doc_id"]
-    spread = passes.repartitionByRange(partitions, *keys) if partitions else passes.repartitionByRange(*keys)
-    return spread.sortWithinPartitions(*keys)
+    return in_position_order(passes, "position", "doc_id", partitions=partitions)
+
+
+def by_first_position(mixed: DataFrame) -> DataFrame:
+    """The rows of ``mix``, range-sorted by the training position of their first pass; those never taken come last."""
+    first = F.get("positions", F.lit(0))
+    keyed = mixed.withColumn("first_position", first).withColumn("_never", first.isNull().cast("int"))
+    return in_position_order(keyed, "_never", "first_position", "doc_id").drop("_never")
 
 
 def mixed_documents(documents: DataFrame, **options) -> DataFrame:
-    """The mix as documents: one row for each pass that takes at least half of a document.
+    """The mix as documents: one row for each pass that takes at least half of a document, range-sorted by training position.
 
     Whole texts only, so each source's words differ from its target by at most
-    half of one document; the copies of a document are equal rows.
+    half of one document; the copies of a document are equal rows.  Rows that
+    were equal before share their copies, evenly between the first and the
+    last of their positions.
     """
     documents, back = set_aside(documents)
-    # equal rows share a key, and are dealt the sum of their copies
-    keyed = documents.withColumns({"_id": F.coalesce("doc_id", F.lit(0)), "_row": F.xxhash64(*documents.columns)})
-    mixed = mix(keyed, columns=("_row",), **options)
-    copies = F.size(F.filter("words", lambda w: w * 2 >= F.col("size"))).cast("long")
-    counts = mixed.groupBy(F.coalesce("doc_id", F.lit(0)).alias("_id"), "_row").agg(F.sum(copies).alias("_copies"), F.count("*").alias("_n")).where("_copies > 0")
+    keyed = documents.withColumns({"_id": F.xxhash64("doc_id"), "_row": row_hash(documents)})
+    mixed = mix(keyed, columns=("_id", "_row"), **options)
+    kept = F.filter(F.arrays_zip("positions", "words"), lambda p: p["words"] * 2 >= F.col("size"))
+    passes = mixed.select("_id", "_row", F.transform(kept, lambda p: p["positions"]).alias("_at"))
+    counts = passes.groupBy("_id", "_row").agg(F.sum(F.size("_at")).cast("long").alias("_copies"), F.count("*").alias("_n"), F.max("_at").alias("_at"), F.min(F.array_min("_at")).alias("_from"), F.max(F.array_max("_at")).alias("_to")).where("_copies > 0")
     # the join leaves the rows dealt and sorted by the key, so the window moves nothing
-    number = F.row_number().over(Window.partitionBy("_id", "_row").orderBy("_row"))
-    each = F.floor(F.col("_copies") / F.col("_n")) + F.when(number <= F.col("_copies") % F.col("_n"), 1).otherwise(0)
-    dealt = keyed.join(counts, ["_id", "_row"]).withColumn("_each", each.cast("int"))
-    return back(dealt.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_each")))))
+    number = F.row_number().over(Window.partitionBy("_id", "_row").orderBy("_row")) - 1
+    each = F.floor(F.col("_copies") / F.col("_n")) + F.when(number < F.col("_copies") % F.col("_n"), 1).otherwise(0)
+    copy = lambda k: F.col("_from") + (F.col("_to") - F.col("_from")) * (number + k * F.col("_n")) / F.col("_copies")
+    shared = F.when(each > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.greatest(each - 1, F.lit(0))), copy)).otherwise(F.array().cast("array<double>"))
+    dealt = keyed.join(counts, ["_id", "_row"]).withColumn("_positions", F.when(F.col("_n") == 1, F.col("_at")).otherwise(shared))
+    return back(in_position_order(dealt.withColumn("_position", F.explode("_positions")), "_position", "_id", "_row"))

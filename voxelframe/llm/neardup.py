@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .store import maybe_in, set_aside, written
+from .store import maybe_in, row_hash, set_aside, written
 from .textbatch import Words, chunks, mix64, text_buffer
 
 
@@ -383,5 +383,7 @@ def keep_one_of_each(documents: DataFrame, config: NearDupConfig = NearDupConfig
     found = documents.withColumn("_text_key", key)
     found = found.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key")))
     single = found.where("_rows = 1").select(*names)
-    several = found.where("_rows > 1").dropDuplicates(["doc_id", "_text_key"]).select(*names)
+    # rows equal in doc_id and text: the one of the least hash of all columns, whichever task is asked
+    several = found.where("_rows > 1").withColumn("_hash", row_hash(found.select(*names)))
+    several = several.groupBy("doc_id", "_text_key").agg(F.min_by(F.struct(*names), "_hash").alias("_least")).select("_least.*")
     return back(single.unionByName(several))

@@ -60,8 +60,8 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(table(spark, sf_dir, "documents"))
-    return mixed.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken", F.get("positions", F.lit(0)).alias("first_position"))
+    mixed = mixing.by_first_position(mixing.mix(table(spark, sf_dir, "documents")))
+    return mixed.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken", "first_position", "positions")
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

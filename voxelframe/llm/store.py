@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -11,9 +12,11 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; only where it is unset (tests) a folder of our own."""
+    """``spark.checkpoint.dir``; where it is unset, a folder of our own if all runs on this machine, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="checkpoints-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -48,6 +51,13 @@ def bucketed(df: DataFrame, column: str, finish: Callable[[DataFrame], DataFrame
     return spark.table(name), lambda: spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
+def row_hash(documents: DataFrame) -> Column:
+    """A hash of a whole row; columns that hold maps are hashed as JSON."""
+    kinds = {f.name: f.dataType.simpleString() for f in documents.schema.fields}
+    plain = [c for c in documents.columns if not re.search("map<|variant", kinds[c])]
+    return F.xxhash64(*plain, *[F.to_json(F.struct(c)) for c in documents.columns if c not in plain])
+
+
 def set_aside(documents: DataFrame, used: tuple[str, ...] = ("doc_id", "text", "source", "lang", "n_chars")) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
     """``documents`` with all columns but ``used`` under names of our own, and the way back.
 
