@@ -101,3 +101,10 @@ def test_query_against_brute_force(spark):
     parts = chat.formatted(df).where("conv_id = 1").orderBy("part").collect()
     assert chat.Reader is not None and sum(len(p["text"]) for p in parts) > 0
     assert chat.format_digests(df.where("false")).count() == 0
+
+
+def test_ids_of_any_type(spark):
+    rows = spark.createDataFrame([("x", 0, "user", "a"), ("x", 1, "assistant", "b"), ("y", 0, "user", None)], "conv_id string, turn int, role string, text string")
+    got = {r["conv_id"]: r for r in chat.format_digests(rows).collect()}
+    assert {c: (r["n_turns"], r["loss_chars"]) for c, r in got.items()} == {"x": (2, 1), "y": (1, 0)}
+    assert {r["conv_id"] for r in chat.formatted(rows).collect()} == {"x", "y"}

@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 
@@ -61,3 +62,25 @@ def test_edges(spark, edge, edge_rows, none_at_all, docs):
     single = langid.learn(documents(spark, [(1, "abc def", "en", None), (2, None, "en", None)]))
     assert {r["lang_pred"] for r in langid.identify(documents(spark, [(1, "xyz", None, None)]), single).collect()} == {"en"}
     assert langid.identify(none_at_all, model).count() == 0
+
+
+def test_votes_against_brute_force(spark, docs):
+    """Every prediction again, from the weights, one text and one machine at a time."""
+    model = langid.learn(docs)
+    got = {r["doc_id"]: r for r in langid.identify(docs, model).collect()}
+    squash = lambda m: 1 / (1 + math.exp(-2 * max(-30, min(30, m))))
+    for r in docs.collect():
+        x = langid.features(*text_buffer(pa.array([r["text"]])), model.config)[0].astype(float)
+        margins = [float(w[:-1].astype(float) @ x + w[-1]) for w in model.of_family]
+        best = max(range(len(margins)), key=margins.__getitem__)
+        group, score = model.families[best], squash(margins[best])
+        wins, sure = {g: 0.0 for g in group}, {g: 1.0 for g in group}
+        for (a, b), w in model.of_pair.items():
+            if a in group:
+                p = squash(float(w[:-1].astype(float) @ x + w[-1]))
+                for name, q, won in ((a, p, p >= 0.5), (b, 1 - p, p < 0.5)):
+                    wins[name] += won + q / 1000
+                    sure[name] = min(sure[name], q)
+        name = max(wins, key=wins.get)
+        assert got[r["doc_id"]]["lang_pred"] == name
+        assert got[r["doc_id"]]["score"] == pytest.approx(score * sure[name], abs=1e-4)

@@ -1,7 +1,5 @@
-import hashlib
 from collections import Counter
 
-import numpy as np
 import tiktoken
 from conftest import prose
 
@@ -56,4 +54,22 @@ def test_run_is_the_stages(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r["doc_id"] for r in got} <= set(range(30)) and len(got) > 20
-    assert all(hashlib.sha256(np.array(r["ids"], "<u4").tobytes()) for r in got)
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for index in range(5):
+        docs = stage(spark, docs, index, tmp_path / str(index))
+    assert Counter((r["doc_id"], tuple(r["ids"])) for r in got) == Counter((r["doc_id"], tuple(r["ids"])) for r in docs.collect())
+
+
+def test_run_of_an_empty_table(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_extra_columns_of_any_type_pass_all_stages(spark, tmp_path):
+    rows = [(i, prose(i, 60 + i), "en", "a", 1, {"k": i}, [[i]], None) for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, row map<string,int>, key array<array<int>>, label string")
+    for index in range(4):
+        docs = stage(spark, docs, index, tmp_path / str(index))
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", "row", "key", "label"]
+        assert all(r["row"] == {"k": r["doc_id"]} and r["key"] == [[r["doc_id"]]] for r in docs.collect())
+    assert stage(spark, docs, 4, tmp_path / "4").count() >= 12

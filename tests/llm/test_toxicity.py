@@ -79,3 +79,17 @@ def test_edges(spark, edge, edge_rows, none_at_all):
     assert max(r["score"] for r in toxicity.score(edge, nothing).collect()) < 1e-10
     toxicity.learn(none_at_all, labels)
     assert toxicity.score(none_at_all, model).count() == 0
+
+
+def test_scores_against_brute_force(spark):
+    rows = sample(300)
+    docs = spark.createDataFrame([(f"id{i}", t) for i, t, _ in rows], "doc_id string, text string")
+    labels = spark.createDataFrame([(f"id{i}", int(y)) for i, _, y in rows], "doc_id string, toxic int")
+    model = toxicity.learn(docs, labels)
+    weight = dict(zip(model.index.tolist(), model.weight.tolist(), strict=True))
+    assert len(weight) > 3
+    text = {f"id{i}": t for i, t, _ in rows}
+    for r in toxicity.score(docs, model).collect():
+        features = set(toxicity.word_features(*text_buffer(pa.array([text[r["doc_id"]]])), model.bits)[1].tolist())
+        z = model.intercept + sum(weight.get(f, 0.0) for f in features)
+        assert r["score"] == pytest.approx(1 / (1 + np.exp(-z)), rel=1e-4)

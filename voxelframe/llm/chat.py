@@ -24,6 +24,7 @@ from itertools import groupby
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .template import Template, conversation
 
@@ -108,7 +109,8 @@ def format_digests(conversations: DataFrame, source: str = TEMPLATE) -> DataFram
     """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, read back from the output."""
     compile_template(source)  # errors show here, not in a task
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
-    types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+    kind = conversations.schema["conv_id"].dataType
+    types = [to_arrow_type(kind), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         template, held = compile_template(source), []
@@ -121,7 +123,7 @@ def format_digests(conversations: DataFrame, source: str = TEMPLATE) -> DataFram
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), types, strict=True)], names)
 
     rows = in_turn_order(conversations).select("conv_id", "role", "text")
-    return rows.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return rows.mapInArrow(run, f"conv_id {kind.simpleString()}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 def formatted(conversations: DataFrame, source: str = TEMPLATE) -> DataFrame:
@@ -130,12 +132,14 @@ def formatted(conversations: DataFrame, source: str = TEMPLATE) -> DataFrame:
     The parts of a conversation, joined in order, are its formatted text.
     """
     compile_template(source)
+    kind = conversations.schema["conv_id"].dataType
+    id_type = to_arrow_type(kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         template = compile_template(source)
 
         def send(conv, part: int, out: list[str], spans: list[list[int]]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([conv], pa.int64()), pa.array([part], pa.int64()), pa.array(["".join(out)]), pa.array([spans], pa.list_(pa.list_(pa.int64())))], ["conv_id", "part", "text", "loss"])
+            return pa.RecordBatch.from_arrays([pa.array([conv], id_type), pa.array([part], pa.int64()), pa.array(["".join(out)]), pa.array([spans], pa.list_(pa.list_(pa.int64())))], ["conv_id", "part", "text", "loss"])
 
         for conv, rows in groupby(_stream(batches), key=lambda r: r[0]):
             out, spans, at, part = [], [], 0, 0
@@ -151,4 +155,4 @@ def formatted(conversations: DataFrame, source: str = TEMPLATE) -> DataFrame:
                 yield send(conv, part, out, spans)
 
     rows = in_turn_order(conversations).select("conv_id", "role", "text")
-    return rows.mapInArrow(run, "conv_id long, part long, text string, loss array<array<long>>")
+    return rows.mapInArrow(run, f"conv_id {kind.simpleString()}, part long, text string, loss array<array<long>>")

@@ -19,7 +19,7 @@ Extra columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 from itertools import combinations
 
 import numpy as np
@@ -196,12 +196,15 @@ def learn(documents: DataFrame, config: LangConfig = LangConfig()) -> LangModel:
 def identify(documents: DataFrame, model: LangModel) -> DataFrame:
     """doc_id, lang_pred and score of each text."""
     kind = documents.schema["doc_id"].dataType.simpleString()
-    shared = documents.sparkSession.sparkContext.broadcast(model)
+    # plain data: an instance could be read only where this package is
+    shared = documents.sparkSession.sparkContext.broadcast((model.families, model.of_family, model.of_pair, asdict(model.config)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        *parts, config = shared.value
+        model = LangModel(*parts, LangConfig(**config))
         for batch in batches:
             for part in chunks(batch, "text", 1 << 20):
-                names, score = predict(*text_buffer(part.column("text")), shared.value)
+                names, score = predict(*text_buffer(part.column("text")), model)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(names, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
 
     return documents.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")

@@ -131,7 +131,7 @@ def learn(documents: DataFrame, labels: DataFrame, config: FtrlConfig = FtrlConf
             got = ftrl(rows, np.array(toxic, float), config)
             yield pa.RecordBatch.from_arrays([pa.array(np.append(got.index, 1 << config.bits)), pa.array(np.append(got.weight, got.intercept))], ["i", "w"])
 
-    found = texts.mapInArrow(read, "doc_id long, toxic int, x binary").repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), F.xxhash64("x")).drop("doc_id")
+    found = texts.mapInArrow(read, f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, toxic int, x binary").repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), F.xxhash64("x")).drop("doc_id")
     got = found.mapInArrow(train, "i long, w double").toArrow()
     index, weight = got.column("i").to_numpy(), got.column("w").to_numpy()
     if not len(index):
@@ -151,10 +151,11 @@ def scores(data: np.ndarray, offsets: np.ndarray, dense: np.ndarray, model: Spar
 def score(documents: DataFrame, model: SparseWeights) -> DataFrame:
     """doc_id and score of each text."""
     kind = documents.schema["doc_id"].dataType.simpleString()
-    shared = documents.sparkSession.sparkContext.broadcast(model)
+    # plain data: an instance could be read only where this package is
+    shared = documents.sparkSession.sparkContext.broadcast((model.intercept, model.index, model.weight, model.bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        model = SparseWeights(*shared.value)
         dense = np.zeros(1 << model.bits, np.float32)
         dense[model.index] = model.weight
         for batch in batches:
