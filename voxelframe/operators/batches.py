@@ -54,8 +54,8 @@ def is_contiguous(rows: DataFrame, index: str, position: str, by: Sequence[str])
 
 
 def indexed_read(table: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
-    """Rows of (pos, key) in request order; the request is small and is sent to the table."""
-    return F.broadcast(wanted).join(table, key).orderBy("pos")
+    """Rows of (pos, key), range-sorted into request order; how the two are joined goes by their sizes."""
+    return wanted.join(table, key).orderBy("pos")
 
 
 def shuffled(n: int, seed: int, block: int = 1) -> list[int]:

@@ -182,7 +182,7 @@ def split_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.split_summary(splits.apply_patients(rows, splits.hash_split(rows)))
 
 
-ASSIGNED = "(SELECT CASE WHEN doc_id % 50 = 1 THEN 'x' || doc_id ELSE CAST(doc_id AS VARCHAR) END AS sample_id FROM documents WHERE doc_id % 7 <> 3 UNION ALL SELECT CAST(doc_id AS VARCHAR) FROM documents WHERE doc_id % 11 = 5 AND doc_id % 7 <> 3)"
+ASSIGNED = "(SELECT CASE WHEN doc_id % 50 = 1 THEN 'x' || doc_id WHEN doc_id % 7 = 3 THEN 'y' || doc_id ELSE CAST(doc_id AS VARCHAR) END AS sample_id FROM documents UNION ALL SELECT CAST(doc_id AS VARCHAR) FROM documents WHERE doc_id % 11 = 5 AND doc_id % 7 <> 3)"
 
 
 @query(f"""WITH a AS {ASSIGNED}, m AS (SELECT CAST(doc_id AS VARCHAR) AS sample_id FROM documents)
@@ -192,7 +192,7 @@ ASSIGNED = "(SELECT CASE WHEN doc_id % 50 = 1 THEN 'x' || doc_id ELSE CAST(doc_i
 def split_membership_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = views.table(spark, sf_dir, "documents").select("doc_id")
     name = F.col("doc_id").cast("string")
-    listed = ids.where("doc_id % 7 <> 3").select(F.when(F.col("doc_id") % 50 == 1, F.concat(F.lit("x"), name)).otherwise(name).alias("sample_id"))
+    listed = ids.select(F.when(F.col("doc_id") % 50 == 1, F.concat(F.lit("x"), name)).when(F.col("doc_id") % 7 == 3, F.concat(F.lit("y"), name)).otherwise(name).alias("sample_id"))
     again = ids.where("doc_id % 11 = 5 AND doc_id % 7 <> 3").select(name.alias("sample_id"))
     return splits.audit_membership(listed.unionAll(again), ids.select(name.alias("sample_id")))
 
@@ -314,7 +314,7 @@ def hierarchy_mixed_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 # datasets -----------------------------------------------------------------------------
 
 
-@query("""WITH i AS (SELECT doc_id % 700 AS case_id, count(*) AS images FROM documents WHERE doc_id % 5 <> 0 GROUP BY 1), l AS (SELECT doc_id % 700 AS case_id, count(*) AS labels FROM labels GROUP BY 1),
+@query("""WITH i AS (SELECT doc_id % 700 + CASE WHEN doc_id % 5 = 0 THEN 1000 ELSE 0 END AS case_id, count(*) AS images FROM documents GROUP BY 1), l AS (SELECT doc_id % 700 AS case_id, count(*) AS labels FROM labels GROUP BY 1),
     c AS (SELECT coalesce(i.case_id, l.case_id) AS case_id, coalesce(images, 0) AS images, coalesce(labels, 0) AS labels FROM i FULL OUTER JOIN l ON i.case_id = l.case_id)
     SELECT case_id, images, labels, concat_ws(',', CASE WHEN images = 0 THEN 'missing_image' END, CASE WHEN labels = 0 THEN 'missing_label' END, CASE WHEN images > 1 THEN 'duplicate_image' END, CASE WHEN labels > 1 THEN 'duplicate_label' END) AS problems,
       CASE WHEN images = 1 AND labels = 1 THEN 'valid' ELSE 'invalid' END AS status FROM c""")
@@ -324,12 +324,13 @@ def dataset_pairing_full_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    case = (F.col("doc_id") % 700).alias("case_id")
-    images = views.table(spark, sf_dir, "documents").where("doc_id % 5 <> 0").select(case)
-    return dataset.with_problems(dataset.pair(images, views.table(spark, sf_dir, "labels").select(case)))
+    case = F.col("doc_id") % 700
+    elsewhere = F.when(F.col("doc_id") % 5 == 0, 1000).otherwise(0)  # images under a case of their own
+    images = views.table(spark, sf_dir, "documents").select((case + elsewhere).alias("case_id"))
+    return dataset.with_problems(dataset.pair(images, views.table(spark, sf_dir, "labels").select(case.alias("case_id"))))
 
 
-@query("""WITH i AS (SELECT doc_id % 700 AS case_id, count(*) AS images FROM documents WHERE doc_id % 5 <> 0 GROUP BY 1), l AS (SELECT doc_id % 700 AS case_id, count(*) AS labels FROM labels GROUP BY 1),
+@query("""WITH i AS (SELECT doc_id % 700 + CASE WHEN doc_id % 5 = 0 THEN 1000 ELSE 0 END AS case_id, count(*) AS images FROM documents GROUP BY 1), l AS (SELECT doc_id % 700 AS case_id, count(*) AS labels FROM labels GROUP BY 1),
     c AS (SELECT coalesce(images, 0) AS images, coalesce(labels, 0) AS labels FROM i FULL OUTER JOIN l ON i.case_id = l.case_id),
     p AS (SELECT unnest([CASE WHEN images = 0 THEN 'missing_image' END, CASE WHEN labels = 0 THEN 'missing_label' END, CASE WHEN images > 1 THEN 'duplicate_image' END, CASE WHEN labels > 1 THEN 'duplicate_label' END]) AS p FROM c)
     SELECT 'problem_' || p AS code, count(*) AS n FROM p WHERE p IS NOT NULL GROUP BY 1
@@ -391,29 +392,42 @@ def volume_dataset_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
 VOXELS = "vox AS (SELECT vec_id, i - 1 AS i, CAST(embedding[i] AS DOUBLE) AS x FROM embeddings, range(1, 65) r(i)), fg AS (SELECT vec_id, i % 4 AS x, (i // 4) % 4 AS y, i // 16 AS z FROM vox WHERE x > 0.1)"
 
 
-def _voxels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = views.volumes(spark, sf_dir).select("vec_id", F.posexplode("values").alias("i", "value"))
-    x, y, z = text.from_flat(F.col("i"), (4, 4, 4))
-    return rows.select("vec_id", "value", x.alias("x"), y.alias("y"), z.alias("z"))
+def _cubes(batch):
+    """The values of a batch as (rows, z, y, x), without a Python object for each."""
+    import numpy as np
+
+    return batch.column("values").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, 4, 4, 4)
 
 
 @query(f"""WITH {VOXELS} SELECT vec_id, count(*) AS voxels, CAST(greatest(min(x) - 1, 0) AS INT) AS x0, CAST(least(max(x) + 2, 4) AS INT) AS x1, CAST(greatest(min(y) - 1, 0) AS INT) AS y0, CAST(least(max(y) + 2, 4) AS INT) AS y1,
     CAST(greatest(min(z) - 1, 0) AS INT) AS z0, CAST(least(max(z) + 2, 4) AS INT) AS z1 FROM fg GROUP BY vec_id""")
 def volume_foreground_bbox(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _voxels(spark, sf_dir).where(F.col("value").cast("double") > 0.1)
-    ends = [c for a in "xyz" for c in (F.greatest(F.min(a) - 1, F.lit(0)).alias(f"{a}0"), F.least(F.max(a) + 2, F.lit(4)).alias(f"{a}1"))]
-    return found.groupBy("vec_id").agg(F.count("*").alias("voxels"), *ends)
+    """Each volume's box in one Arrow pass; volumes without foreground have none."""
+    import pyarrow as pa
+
+    names = ["vec_id", "voxels", "x0", "x1", "y0", "y1", "z0", "z1"]
+
+    def run(batches_):
+        for batch in batches_:
+            rows = []
+            for vec, cube in zip(batch.column("vec_id").to_pylist(), _cubes(batch), strict=True):
+                if (box := volumes.foreground_box(cube > 0.1, (1, 1, 1))) is not None:
+                    start, end, n = box
+                    rows.append((vec, n, *[v for pair in zip(start, end, strict=True) for v in pair]))
+            columns = list(zip(*rows, strict=True)) or [()] * 8
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if i < 2 else pa.int32()) for i, c in enumerate(columns)], names)
+
+    return views.volumes(spark, sf_dir).select("vec_id", "values").mapInArrow(run, "vec_id long, voxels long, x0 int, x1 int, y0 int, y1 int, z0 int, z1 int")
 
 
 @query(f"WITH {VOXELS} SELECT e.vec_id, (SELECT count(*) FROM fg WHERE fg.vec_id = e.vec_id AND x BETWEEN 1 AND 2 AND y BETWEEN 0 AND 2 AND z BETWEEN 1 AND 3) AS voxels FROM embeddings e")
 def volume_prefix_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Foreground of a box by eight corners of the integral volume, in one Arrow pass."""
-    import numpy as np
     import pyarrow as pa
 
     def run(batches_):
         for batch in batches_:
-            cubes = np.array(batch.column("values").to_pylist(), np.float64).reshape(-1, 4, 4, 4)
+            cubes = _cubes(batch)
             found = [volumes.box_count(volumes.prefix_sums(c > 0.1), (1, 0, 1), (2, 3, 3)) for c in cubes]
             yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(found, pa.int64())], ["vec_id", "voxels"])
 
@@ -423,12 +437,11 @@ def volume_prefix_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT vec_id, round(CAST(sum(CASE WHEN (i - 1) % 4 BETWEEN 1 AND 2 AND ((i - 1) // 4) % 4 BETWEEN 1 AND 2 THEN CAST(embedding[i] AS DOUBLE) ELSE 0 END) AS DOUBLE), 4) AS total, 96 AS voxels FROM embeddings, range(1, 65) r(i) GROUP BY vec_id""")
 def volume_crop_pad(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The centre at 2 x 2 x 24: cropped in x and y, padded in z."""
-    import numpy as np
     import pyarrow as pa
 
     def run(batches_):
         for batch in batches_:
-            cubes = np.array(batch.column("values").to_pylist(), np.float64).reshape(-1, 4, 4, 4)
+            cubes = _cubes(batch)
             out = [volumes.pad_crop(c, (2, 2, 24))[0] for c in cubes]
             yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array([round(float(o.sum()), 4) for o in out]), pa.array([o.size for o in out], pa.int32())], ["vec_id", "total", "voxels"])
 
@@ -444,7 +457,7 @@ def volume_resample_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     def run(batches_):
         one, two = volumes.affine((1, 1, 1), (0, 0, 0), np.eye(3)), volumes.affine((2, 2, 2), (0, 0, 0), np.eye(3))
         for batch in batches_:
-            cubes = np.array(batch.column("values").to_pylist(), np.float64).reshape(-1, 4, 4, 4)
+            cubes = _cubes(batch)
             yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array([round(float(volumes.resample(c, one, two, (2, 2, 2), False).sum()), 4) for c in cubes])], ["vec_id", "total"])
 
     return views.volumes(spark, sf_dir).select("vec_id", "values").mapInArrow(run, "vec_id long, total double")
@@ -468,12 +481,13 @@ def image_uint8_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
 # patches and batches ----------------------------------------------------------------------
 
 
-@query("""WITH c AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS r, count(*) OVER () AS n FROM embeddings), i AS (SELECT i AS idx FROM range(0, 1000) t(i))
+@query("""WITH c AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS r, count(*) OVER () AS n FROM embeddings), i AS (SELECT i AS idx FROM range(0, 2 * (SELECT count(*) FROM embeddings)) t(i))
     SELECT idx AS "index", vec_id AS case_id, idx % 2 = 0 AS wants_foreground, CAST(floor(idx / 32) AS BIGINT) AS batch_id, CAST(idx // 32 % 4 AS BIGINT) AS worker FROM i JOIN c ON idx % n = r""")
 def patch_plan_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     from voxelframe.operators import sampling
 
-    plan = sampling.plan_cases(views.volumes(spark, sf_dir).select(F.col("vec_id").alias("case_id")), 1000)
+    cases = views.volumes(spark, sf_dir).select(F.col("vec_id").alias("case_id"))
+    plan = sampling.plan_cases(cases, 2 * cases.count())
     batch = batches.batch_id(F.col("index"), 32)
     return plan.select("index", "case_id", "wants_foreground", batch.alias("batch_id"), (batch % 4).alias("worker"))
 
@@ -494,10 +508,12 @@ def batch_indexed_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return batches.contiguous_runs(views.table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey"), "o_orderkey", ["o_custkey"])
 
 
-@query("""WITH w AS (SELECT i AS pos, (i * 37) % 100 AS vec_id FROM range(0, 64) t(i)) SELECT pos, w.vec_id, label, round(CAST(embedding[1] AS DOUBLE), 5) AS first_value FROM w JOIN embeddings USING (vec_id)""")
+@query("""WITH w AS (SELECT vec_id AS pos, (vec_id * 37) % (SELECT count(*) FROM embeddings) AS vec_id FROM embeddings) SELECT pos, w.vec_id, label, round(CAST(embedding[1] AS DOUBLE), 5) AS first_value FROM w JOIN embeddings USING (vec_id)""")
 def batch_indexed_read(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wanted = spark.range(64).select(F.col("id").alias("pos"), (F.col("id") * 37 % 100).alias("vec_id"))
-    rows = batches.indexed_read(views.volumes(spark, sf_dir), wanted, "vec_id")
+    """All rows, in an order of their own."""
+    table = views.volumes(spark, sf_dir)
+    wanted = table.select(F.col("vec_id").alias("pos"), (F.col("vec_id") * 37 % table.count()).alias("vec_id"))
+    rows = batches.indexed_read(table, wanted, "vec_id")
     return rows.select("pos", "vec_id", "label", F.round(F.get("values", F.lit(0)).cast("double"), 5).alias("first_value"))
 
 
@@ -543,13 +559,14 @@ def metric_masked_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(metrics.masked_loss(rows), "loss")
 
 
-@query("""WITH c AS (SELECT doc_id, n_chars AS s, row_number() OVER (ORDER BY doc_id) AS p FROM documents WHERE doc_id % 9 <> 0), r AS (SELECT doc_id, n_chars + doc_id % 5 AS s, row_number() OVER (ORDER BY doc_id) AS p FROM documents WHERE doc_id % 13 <> 0)
+@query("""WITH c AS (SELECT CASE WHEN doc_id % 9 = 0 THEN -1 - doc_id ELSE doc_id END AS doc_id, n_chars AS s, 1 AS p FROM documents), r AS (SELECT CASE WHEN doc_id % 13 = 0 THEN -1000000000 - doc_id ELSE doc_id END AS doc_id, n_chars + doc_id % 5 AS s, 1 AS p FROM documents)
     SELECT count(*) FILTER (WHERE c.p IS NOT NULL AND r.p IS NOT NULL) AS matched, count(*) FILTER (WHERE c.p IS NULL) AS missing_in_candidate, count(*) FILTER (WHERE r.p IS NULL) AS missing_in_reference,
       round(avg(abs(c.s - r.s)), 6) AS mean_difference, CAST(max(abs(c.s - r.s)) AS DOUBLE) AS max_difference FROM c FULL OUTER JOIN r USING (doc_id)""")
 def prediction_pairing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = views.table(spark, sf_dir, "documents")
-    side = lambda rows, s: rows.select(F.col("doc_id").alias("sample_id"), F.col("doc_id").alias("position"), s.cast("double").alias("score"))
-    got = metrics.pair_predictions(side(docs.where("doc_id % 9 <> 0"), F.col("n_chars")), side(docs.where("doc_id % 13 <> 0"), F.col("n_chars") + F.col("doc_id") % 5))
+    other = lambda k, base: F.when(F.col("doc_id") % k == 0, F.lit(base) - F.col("doc_id")).otherwise(F.col("doc_id"))
+    side = lambda sample, s: docs.select(sample.alias("sample_id"), F.col("doc_id").alias("position"), s.cast("double").alias("score"))
+    got = metrics.pair_predictions(side(other(9, -1), F.col("n_chars")), side(other(13, -1_000_000_000), F.col("n_chars") + F.col("doc_id") % 5))
     return rounded(got, "mean_difference").drop("moved")
 
 
@@ -752,16 +769,18 @@ def case_id_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.union(b).distinct()
 
 
-@query("""SELECT conv_id AS case_id, min(turn) AS least, max(turn) AS most, count(DISTINCT turn) AS n FROM conversations WHERE (conv_id * 7 + turn) % 5 <> 1 GROUP BY conv_id HAVING min(turn) <> 0 OR max(turn) <> count(DISTINCT turn) - 1""")
+@query("""WITH c AS (SELECT conv_id, turn + CASE WHEN (conv_id * 7 + turn) % 5 = 1 THEN 100 ELSE 0 END AS turn FROM conversations)
+    SELECT conv_id AS case_id, min(turn) AS least, max(turn) AS most, count(DISTINCT turn) AS n FROM c GROUP BY conv_id HAVING min(turn) <> 0 OR max(turn) <> count(DISTINCT turn) - 1""")
 def channel_gap_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = views.table(spark, sf_dir, "conversations").where("(conv_id * 7 + turn) % 5 <> 1")
-    return dataset.channel_gaps(rows.select(F.col("conv_id").alias("case_id"), F.col("turn").alias("channel")))
+    """Some channels have a number far from the others', which leaves gaps."""
+    moved = F.col("turn") + F.when((F.col("conv_id") * 7 + F.col("turn")) % 5 == 1, 100).otherwise(0)
+    return dataset.channel_gaps(views.table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("case_id"), moved.alias("channel")))
 
 
-@query("""WITH s AS (SELECT conv_id, turn, turn - lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS step FROM conversations WHERE (conv_id + turn) % 6 <> 2) SELECT conv_id, bool_and(coalesce(step = 1, true)) AS contiguous FROM s GROUP BY conv_id""")
+@query("""WITH t AS (SELECT conv_id, turn + CASE WHEN (conv_id + turn) % 6 = 2 THEN 100 ELSE 0 END AS turn FROM conversations), s AS (SELECT conv_id, turn, turn - lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS step FROM t) SELECT conv_id, bool_and(coalesce(step = 1, true)) AS contiguous FROM s GROUP BY conv_id""")
 def batch_contiguity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = views.table(spark, sf_dir, "conversations").where("(conv_id + turn) % 6 <> 2")
-    return batches.is_contiguous(rows, "turn", "turn", ["conv_id"])
+    moved = F.col("turn") + F.when((F.col("conv_id") + F.col("turn")) % 6 == 2, 100).otherwise(0)
+    return batches.is_contiguous(views.table(spark, sf_dir, "conversations").select("conv_id", moved.alias("turn")), "turn", "turn", ["conv_id"])
 
 
 @query("""WITH b AS (SELECT vec_id, CAST(floor(vec_id / 48) AS BIGINT) AS batch_id FROM embeddings), f AS (SELECT batch_id FROM b GROUP BY 1 HAVING count(*) = 48) SELECT vec_id AS "index", batch_id FROM b WHERE batch_id IN (SELECT batch_id FROM f) AND batch_id % 3 = 1""")
@@ -832,7 +851,7 @@ def patch_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     from voxelframe.operators import sampling
 
     cases = views.volumes(spark, sf_dir).select(F.col("vec_id").cast("string").alias("case_id"), F.array(*[F.lit(4)] * 3).alias("shape"), F.transform("values", lambda v: (v > 0.1).cast("int")).alias("label"))
-    return sampling.sample_patches(sampling.plan_cases(cases, 1000), cases, (2, 2, 2), seed=11)
+    return sampling.sample_patches(sampling.plan_cases(cases, 2 * cases.count()), cases, (2, 2, 2), seed=11)
 
 
 # rules ------------------------------------------------------------------------------------------

@@ -188,12 +188,20 @@ def inventory_row(d: DataSet, path: str) -> dict:
 
 def candidates(spark: SparkSession, path: str) -> DataFrame:
     """Files that may be DICOM: by extension, or without one."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return candidates_of(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path))
+
+
+def candidates_of(files: DataFrame) -> DataFrame:
     return files.where(extension(F.col("path")).isin("dc", "dcm", "dicom", "ima", ""))
 
 
 def scan(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(inventory, errors): a row for each file, sorted by path when collected that way."""
+    return inventory_of(candidates(spark, path))
+
+
+def inventory_of(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """scan() of rows (path, content)."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StringType, StructField, StructType
 
@@ -211,7 +219,7 @@ def scan(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
                     rows.append({"path": name, "error": str(error)})
             yield pa.RecordBatch.from_pylist([{n: r.get(n) for n in arrow.names} for r in rows], schema=arrow)
 
-    parsed = candidates(spark, path).select("path", "content").mapInArrow(run, schema)
+    parsed = files.select("path", "content").mapInArrow(run, schema)
     return parsed.where("error is null").drop("error"), parsed.where("error is not null").select("path", "error")
 
 
@@ -337,10 +345,29 @@ def present(d: DataSet, rescale: bool = True, voi: str = "auto", invert_monochro
     return out, steps
 
 
-def build(elements: dict[tuple[int, int], tuple[str, bytes]], syntax: str = EXPLICIT_LITTLE) -> bytes:
-    """A Part-10 file of the given elements; for fixtures."""
-
-    def write(tag: tuple[int, int], vr: str, value: bytes, order: str, explicit: bool) -> bytes:
+def rle(planes: list[bytes]) -> bytes:
+    """RLE Lossless of byte planes: runs of equal bytes, and literal bytes; for fixtures."""
+    parts = []
+    for plane in planes:
+        out, at = bytearray(), 0
+        while at < len(plane):
+            run = 1
+            while at + run < len(plane) and run < 128 and plane[at + run] == plane[at]:
+                run += 1
+            out += bytes([257 - run, plane[at]]) if run > 1 else bytes([0, plane[at]])
+            at += run
+        parts.append(bytes(out) + b"\0" * (len(out) % 2))
+    starts = [64 + sum(map(len, parts[:i])) for i in range(len(parts))]
+    return struct.pack("<16I", len(parts), *starts, *[0] * (15 - len(parts))) + b"".join(parts)
+
+
+def build(elements: dict[tuple[int, int], tuple[str, bytes | list[bytes]]], syntax: str = EXPLICIT_LITTLE) -> bytes:
+    """A Part-10 file of the given elements, lists being fragments of undefined length; for fixtures."""
+
+    def write(tag: tuple[int, int], vr: str, value: bytes | list[bytes], order: str, explicit: bool) -> bytes:
+        if isinstance(value, list):
+            items = b"".join(struct.pack("<HHI", 0xFFFE, 0xE000, len(v)) + v for v in [b"", *value])
+            return struct.pack("<HH", *tag) + vr.encode() + b"\0\0" + struct.pack("<I", UNDEFINED) + items + struct.pack("<HHI", 0xFFFE, 0xE0DD, 0)
         value += b"\0" * (len(value) % 2)
         head = struct.pack(order + "HH", *tag)
         if not explicit:

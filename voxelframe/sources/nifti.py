@@ -129,17 +129,33 @@ def read_labels(data: bytes, header: Header, pixels: bytes | None = None) -> np.
     return values.astype(np.uint16)
 
 
+def below(spark: SparkSession, path: str) -> DataFrame:
+    """(path, content, ...) of all files below a folder; contents are read only if they are used."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+
+
+def only_nifti(files: DataFrame) -> DataFrame:
+    return files.where(F.lower("path").rlike(r"\.nii(\.gz)?$"))
+
+
 def listing(spark: SparkSession, path: str) -> DataFrame:
     """(path, stem, case_id, channel) of the NIfTI files below a folder; contents are not read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path")
-    files = files.where(F.lower("path").rlike(r"\.nii(\.gz)?$"))
+    return listed(below(spark, path))
+
+
+def listed(files: DataFrame) -> DataFrame:
+    files = only_nifti(files.select("path"))
     stem = strip_nifti(F.substring_index("path", "/", -1))
     return files.select("path", stem.alias("stem"), case_id(stem).alias("case_id"), channel_index(stem).alias("channel"))
 
 
 def index(spark: SparkSession, path: str) -> DataFrame:
     """(case_id, paths): sorted paths of each case."""
-    return listing(spark, path).groupBy("case_id").agg(F.sort_array(F.collect_list("path")).alias("paths"))
+    return indexed(below(spark, path))
+
+
+def indexed(files: DataFrame) -> DataFrame:
+    return listed(files).groupBy("case_id").agg(F.sort_array(F.collect_list("path")).alias("paths"))
 
 
 HEADERS = "path string, shape array<int>, dtype string, spacing array<double>, origin array<double>, direction array<double>, error string"
@@ -147,6 +163,11 @@ HEADERS = "path string, shape array<int>, dtype string, spacing array<double>, o
 
 def scan_headers(spark: SparkSession, path: str) -> DataFrame:
     """One row for each file: its geometry, or the error."""
+    return headers_of(below(spark, path))
+
+
+def headers_of(files: DataFrame) -> DataFrame:
+    """scan_headers() of rows (path, content)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -161,12 +182,16 @@ def scan_headers(spark: SparkSession, path: str) -> DataFrame:
             types = [pa.string(), pa.list_(pa.int32()), pa.string(), doubles, doubles, doubles, pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["path", "shape", "dtype", "spacing", "origin", "direction", "error"])
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where(F.lower("path").rlike(r"\.nii(\.gz)?$"))
-    return files.select("path", "content").mapInArrow(run, HEADERS)
+    return only_nifti(files).select("path", "content").mapInArrow(run, HEADERS)
 
 
 def load_volumes(spark: SparkSession, path: str, labels: bool = False) -> DataFrame:
     """(path, shape, spacing, origin, direction, values, error) of whole files; values x fastest."""
+    return volumes_of(below(spark, path), labels)
+
+
+def volumes_of(files: DataFrame, labels: bool = False) -> DataFrame:
+    """load_volumes() of rows (path, content)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         doubles = pa.list_(pa.float64())
@@ -183,13 +208,17 @@ def load_volumes(spark: SparkSession, path: str, labels: bool = False) -> DataFr
                 types = [pa.string(), pa.list_(pa.int32()), doubles, doubles, doubles, pa.list_(pa.float32()), pa.string()]
                 yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(row, types, strict=True)], ["path", "shape", "spacing", "origin", "direction", "values", "error"])
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where(F.lower("path").rlike(r"\.nii(\.gz)?$"))
-    return files.select("path", "content").mapInArrow(run, "path string, shape array<int>, spacing array<double>, origin array<double>, direction array<double>, values array<float>, error string")
+    return only_nifti(files).select("path", "content").mapInArrow(run, "path string, shape array<int>, spacing array<double>, origin array<double>, direction array<double>, values array<float>, error string")
 
 
 def detached_pairs(spark: SparkSession, path: str) -> DataFrame:
     """(header, pixels): ``.hdr`` files with their ``.img`` or, failing that, ``.img.gz``."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path")
+    return pairs_of(below(spark, path))
+
+
+def pairs_of(files: DataFrame) -> DataFrame:
+    """detached_pairs() of rows (path)."""
+    files = files.select("path")
     base = F.regexp_replace("path", r"(?i)\.(hdr|img)(\.gz)?$", "")
     named = files.withColumn("base", base)
     headers = named.where(F.lower("path").rlike(r"\.hdr(\.gz)?$")).select("base", F.col("path").alias("header"))
@@ -198,7 +227,7 @@ def detached_pairs(spark: SparkSession, path: str) -> DataFrame:
     return out.select("header", F.coalesce("a", "b").alias("pixels"))
 
 
-def build(shape: tuple[int, ...], values: np.ndarray, datatype: int = 16, spacing: tuple[float, ...] = (1.0, 1.0, 1.0), order: str = "<", slope: float = 0.0, intercept: float = 0.0, sform: np.ndarray | None = None) -> bytes:
+def build(shape: tuple[int, ...], values: np.ndarray, datatype: int = 16, spacing: tuple[float, ...] = (1.0, 1.0, 1.0), order: str = "<", slope: float = 0.0, intercept: float = 0.0, sform: np.ndarray | None = None, qform: tuple[float, ...] = ()) -> bytes:
     """A single-file image; for fixtures and exports."""
     out = bytearray(352)
     struct.pack_into(order + "i", out, 0, HEADER)
@@ -210,5 +239,8 @@ def build(shape: tuple[int, ...], values: np.ndarray, datatype: int = 16, spacin
     if sform is not None:
         struct.pack_into(order + "h", out, 254, 1)
         struct.pack_into(order + "12f", out, 280, *np.asarray(sform, float)[:3].ravel())
+    if qform:  # quaternion b, c, d and the shift
+        struct.pack_into(order + "h", out, 252, 1)
+        struct.pack_into(order + "6f", out, 256, *qform)
     out[344:348] = b"n+1\0"
     return bytes(out) + np.asarray(values).astype(np.dtype(order + DATATYPES[datatype][1])).tobytes()

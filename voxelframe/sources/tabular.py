@@ -51,7 +51,12 @@ def label_maps(long: DataFrame) -> DataFrame:
 
 def image_listing(spark: SparkSession, path: str) -> DataFrame:
     """(image_id, image_path) of jpg, jpeg and png files; of equal stems the greatest path. Contents are not read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path")
+    return images_of(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path))
+
+
+def images_of(files: DataFrame) -> DataFrame:
+    """image_listing() of rows (path)."""
+    files = files.select("path")
     images = files.where(extension(F.col("path")).isin("jpg", "jpeg", "png"))
     return images.groupBy(stem(F.col("path")).alias("image_id")).agg(F.max("path").alias("image_path"))
 
