@@ -238,3 +238,21 @@ def test_normalization_floor(spark):
     df = spark.createDataFrame([(i, [3.0, 3.0]) for i in range(4)], "i long, v array<double>")
     assert tuple(cache.normalization(df, "i", "v").first()) == (8, 3.0, pytest.approx(1e-3))
     assert tuple(cache.normalization(df.where("false"), "i", "v").first()) == (0, 0.5, 0.25)
+
+
+def test_running_sums_go_over_all_ranges(spark):
+    from pyspark.sql import functions as F
+
+    from voxelframe.operators.ordering import running_sums
+
+    rows = spark.range(1000).select(F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("g"), (F.col("id") * 0.5 - 100).alias("v"), (F.col("id") % 7).alias("n"))
+    for descending in (False, True):
+        got = running_sums(rows, ["g"], "v", {"n": "n"}, descending, ranges=16).collect()
+        assert len(got) == 1000
+        for g in (None, 1, 2):
+            own, total = sorted((r for r in got if r["g"] == g), key=lambda r: -r["v"] if descending else r["v"]), 0
+            for r in own:
+                total += r["n"]
+                assert r["n_upto"] == total
+            assert {r["n_all"] for r in own} == {total}
+    assert running_sums(rows.where("false"), ["g"], "v", {"n": "n"}).count() == 0

@@ -1,7 +1,8 @@
 """Distributions, ranking metrics, operating points and prediction comparisons.
 
-Ranking metrics aggregate to one row per distinct score before any window, so
-the windows run over distinct scores of a target, not over samples.
+Ranking metrics and percentiles aggregate to one row per distinct value first;
+running counts over these go by ranges of the value, so that no task holds a
+target or a group.
 """
 
 from __future__ import annotations
@@ -11,24 +12,43 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordering import running_sums
+
 
 def linear_distribution(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     """count, min, p25, median, p75, max, mean, percentiles by linear interpolation."""
-    v = F.col(value).cast("double")
-    p = F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = df.where(v.isNotNull()).groupBy(*by).agg(F.count("*").alias("count"), F.min(v).alias("min"), p.alias("_p"), F.max(v).alias("max"), F.avg(v).alias("mean"))
-    return out.select(*by, "count", "min", F.get("_p", F.lit(0)).alias("p25"), F.get("_p", F.lit(1)).alias("median"), F.get("_p", F.lit(2)).alias("p75"), "max", "mean")
+    ranked = _ranked(df.where(F.col(value).isNotNull()), value, by)
+    rank = lambda q: F.lit(q) * (F.col("n_all") - 1)
+    at = lambda r: F.min(F.when(F.col("n_upto") > r, F.col("_v")))
+    shares = {"p25": 0.25, "median": 0.5, "p75": 0.75}
+    ends = [c for name, q in shares.items() for c in (at(F.floor(rank(q))).alias(f"_{name}_low"), at(F.ceil(rank(q))).alias(f"_{name}_high"))]
+    out = ranked.groupBy(*by).agg(F.max("n_all").alias("count"), F.min("_v").alias("min"), *ends, F.max("_v").alias("max"), (F.sum(F.col("_v") * F.col("_n")) / F.max("n_all")).alias("mean"))
+    part = lambda name, q: F.lit(q) * (F.col("count") - 1) - F.floor(F.lit(q) * (F.col("count") - 1))
+    between = [(F.col(f"_{name}_low") + (F.col(f"_{name}_high") - F.col(f"_{name}_low")) * part(name, q)).alias(name) for name, q in shares.items()]
+    return out.select(*by, "count", "min", *between, "max", "mean")
+
+
+def _ranked(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
+    """(by..., _v, _n, n_upto, n_all): distinct values, their rows, and the rows of values up to each."""
+    counts = df.groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
+    return running_sums(counts, by, "_v", {"_n": "n"})
 
 
 def nearest_rank(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     """mean, p50, p95 by nearest rank; values that are not finite are left out; no rows give zeros."""
     v = F.col(value).cast("double")
     finite = v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))
-    return df.groupBy(*by).agg(
-        F.coalesce(F.avg(F.when(finite, v)), F.lit(0.0)).alias("mean"),
-        F.coalesce(F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY CASE WHEN isnan({value}) OR abs({value}) = double('inf') THEN NULL ELSE {value} END)"), F.lit(0.0)).alias("p50"),
-        F.coalesce(F.expr(f"percentile_disc(0.95) WITHIN GROUP (ORDER BY CASE WHEN isnan({value}) OR abs({value}) = double('inf') THEN NULL ELSE {value} END)"), F.lit(0.0)).alias("p95"),
-    )
+    ranked = _ranked(df.where(finite), value, by)
+    at = lambda q: F.min(F.when(F.col("n_upto") >= F.lit(q) * F.col("n_all"), F.col("_v")))
+    found = ranked.groupBy(*by).agg((F.sum(F.col("_v") * F.col("_n")) / F.max("n_all")).alias("mean"), at(0.5).alias("p50"), at(0.95).alias("p95"))
+    zero = [F.coalesce(c, F.lit(0.0)).alias(c) for c in ("mean", "p50", "p95")]
+    if not by:
+        return found.select(*zero)
+    groups = df.select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(by)]).distinct()  # also those without a finite value
+    same = F.lit(True)
+    for i, c in enumerate(by):
+        same &= F.col(f"_g{i}").eqNullSafe(F.col(c))
+    return groups.join(found, same, "left").select(*[F.col(f"_g{i}").alias(c) for i, c in enumerate(by)], *zero)
 
 
 def value_bins(df: DataFrame, fraction: Column, by: Sequence[str] = ()) -> DataFrame:
@@ -58,10 +78,8 @@ def by_score(scored: DataFrame) -> DataFrame:
 
 def sweep(scored: DataFrame) -> DataFrame:
     """For each target and distinct score: counts at or above it, and the target's totals."""
-    above = Window.partitionBy("target").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    all_ = Window.partitionBy("target")
-    counts = by_score(scored)
-    return counts.select("target", "score", "p", "n", F.sum("p").over(above).alias("tp"), F.sum("n").over(above).alias("fp"), F.sum("p").over(all_).alias("positives"), F.sum("n").over(all_).alias("negatives"))
+    summed = running_sums(by_score(scored), ["target"], "score", {"p": "p", "n": "n"}, descending=True)
+    return summed.select("target", "score", "p", "n", F.col("p_upto").alias("tp"), F.col("n_upto").alias("fp"), F.col("p_all").alias("positives"), F.col("n_all").alias("negatives"))
 
 
 def ranking_metrics(scored: DataFrame) -> DataFrame:
