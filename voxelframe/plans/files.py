@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from voxelframe.functions import labels, text
-from voxelframe.operators import dataset, images, sampling, splits, volumes
+from voxelframe.operators import artifacts, dataset, images, sampling, splits, volumes
 from voxelframe.plans import views
 from voxelframe.plans.catalogue import query
 from voxelframe.sources import challenge, dicom, nifti, sinks, tabular
@@ -456,3 +456,25 @@ def resampled_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sizes of volumes at another spacing; a single slice stays one."""
     rows = views.table(spark, sf_dir, "orders")
     return rows.select("o_orderkey", volumes.resampled_shape(F.col("o_orderkey") % 9 + 1, F.lit(1.0) + F.col("o_orderkey") % 4, F.lit(2.5)).alias("n"))
+
+
+@query("""SELECT 'r' || CAST(c_custkey AS VARCHAR) AS run_id, unnest(list_filter([CASE WHEN c_custkey % 7 = 0 THEN 'summary.samples' END, CASE WHEN c_custkey % 5 = 0 THEN 'provenance.seed' END, CASE WHEN c_custkey % 11 = 0 THEN 'summary.loader_samples_per_second' END,
+    CASE WHEN c_custkey % 13 = 0 THEN 'manifest split sample total' END, CASE WHEN c_custkey % 17 = 0 THEN 'summary.quality_gate missing' END], lambda x: x IS NOT NULL)) AS rule FROM customer""")
+def run_artifact_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run for each customer, its JSON documents checked against each other."""
+    k = F.col("c_custkey")
+    n, off = k % 100 + 10, lambda m: F.when(k % m == 0, 1).otherwise(0)
+    train, val = n - 5, F.lit(5) + off(13)
+    run = F.concat(F.lit("r"), k.cast("string"))
+    doc = lambda name, *cells: F.struct(F.lit(name).alias("artifact"), F.to_json(F.struct(*cells)).alias("document"))
+    counts, metadata = F.struct(train.alias("train"), val.alias("val")), F.struct(run.alias("run_id"), F.lit(1).alias("seed"))
+    provenance = F.struct(run.alias("run_id"), n.alias("samples"), (F.lit(1) + off(5)).alias("seed"), counts.alias("splits"), F.struct(F.struct(train.alias("train")).alias("split_samples")).alias("cache"))
+    rate = F.struct((F.round(k / 7, 3) + off(11)).alias("own"))
+    gate = F.when(k % 17 > 0, F.struct(F.lit("ok").alias("status")))
+    documents = F.array(
+        doc("summary", run.alias("run_id"), (n + off(7)).alias("samples"), provenance.alias("provenance"), rate.alias("loader_samples_per_second"), gate.alias("quality_gate")).alias("d"),
+        doc("metadata", run.alias("run_id"), F.lit(1).alias("seed")), doc("manifest", n.alias("samples")), doc("split", counts.alias("counts")),
+        doc("cache", F.struct(F.struct(train.alias("samples")).alias("train")).alias("splits")), doc("environment", metadata.alias("run_metadata")), doc("loader", F.struct((k / 7).alias("samples_per_second")).alias("own")),
+    )
+    rows = views.table(spark, sf_dir, "customer").select(run.alias("run_id"), F.explode(documents).alias("d")).select("run_id", "d.artifact", "d.document")
+    return artifacts.run_errors(rows)
