@@ -826,7 +826,7 @@ def metric_recheck(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(metrics.recheck(told, found, ["target"], "auroc"), "reported", "recomputed")
 
 
-@query(None)
+@query("SELECT doc_id, source FROM (SELECT doc_id, source, sha256(from_hex('0700000000000000') || encode(CAST(doc_id AS VARCHAR))) AS h FROM documents) ORDER BY " + BUCKET + ", doc_id LIMIT 100")
 def subset_by_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A repeatable sample of 100 documents: sampling is the feature."""
     from voxelframe.sources import tabular
@@ -834,7 +834,9 @@ def subset_by_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tabular.subset(views.table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id", 7, 100)
 
 
-@query(None)
+@query(f"""WITH {VOXELS}, b AS (SELECT vec_id, count(*) AS n, greatest(min(x) - 1, 0) AS x0, least(max(x) + 2, 4) AS x1, greatest(min(y) - 1, 0) AS y0, least(max(y) + 2, 4) AS y1, greatest(min(z) - 1, 0) AS z0, least(max(z) + 2, 4) AS z1 FROM fg GROUP BY vec_id)
+    SELECT CAST(vec_id AS VARCHAR) AS case_id, CAST(x0 - (4 - x1 + x0) // 2 AS VARCHAR) || ',' || CAST(y0 - (4 - y1 + y0) // 2 AS VARCHAR) || ',' || CAST(z0 - (4 - z1 + z0) // 2 AS VARCHAR) AS crop_origin, n AS foreground,
+      'percentile_clip,z_score_normalize,crop_foreground,pad_crop' AS log, CAST(NULL AS VARCHAR) AS error FROM b""")
 def prepared_volumes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A whole preprocessing plan, fused into one Arrow pass over all volumes."""
     from voxelframe.plans.transform import TransformPlan, prepare
@@ -843,7 +845,7 @@ def prepared_volumes(spark: SparkSession, sf_dir: str) -> DataFrame:
     ones, eye = F.array(*[F.lit(1.0)] * 3), F.array(*[F.lit(float(i % 4 == 0)) for i in range(9)])
     cases = rows.select(F.col("vec_id").cast("string").alias("case_id"), F.array(*[F.lit(4)] * 3).alias("shape"), ones.alias("spacing"), F.array(*[F.lit(0.0)] * 3).alias("origin"), eye.alias("direction"), F.array("values").alias("channels"), F.transform("values", lambda v: (v > 0.1).cast("int")).alias("label"))
     plan = TransformPlan(({"op": "percentile_clip", "lower": 5.0, "upper": 95.0}, {"op": "z_score_normalize", "epsilon": 1e-6}, {"op": "crop_foreground", "margin": 1}, {"op": "pad_crop", "size": [4, 4, 4]}))
-    return prepare(cases, plan).select("case_id", "crop_origin", "foreground", "log", "error")
+    return prepare(cases, plan).select("case_id", F.array_join("crop_origin", ",").alias("crop_origin"), "foreground", F.array_join("log", ",").alias("log"), "error")
 
 
 @query(None)

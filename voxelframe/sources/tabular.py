@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from voxelframe.functions.hashing import stable_bucket
 from voxelframe.functions.labels import parse_label
 from voxelframe.functions.text import blank_to_null, extension, stem
 
@@ -94,5 +95,5 @@ def directory_bytes(spark: SparkSession, path: str) -> int:
 
 
 def subset(df: DataFrame, key: str, seed: int, limit: int) -> DataFrame:
-    """A repeatable sample of ``limit`` rows: the least seeded hashes. The limit is the operator."""
-    return df.orderBy(F.xxhash64(F.lit(seed), key), key).limit(limit)
+    """A repeatable sample of ``limit`` rows: the least seeded buckets. The limit is the operator."""
+    return df.orderBy(stable_bucket(F.col(key), seed), key).limit(limit)
