@@ -94,6 +94,7 @@ def cache_inspect(a: argparse.Namespace) -> str:
 
 
 def query(a: argparse.Namespace) -> str:
+    import voxelframe.plans.files  # noqa: F401  registers its queries
     from voxelframe.plans.catalogue import QUERIES
 
     return "\n".join(json.dumps(r.asDict(recursive=True), default=str) for r in QUERIES[a.name](_session(), a.sf_dir).limit(a.limit).collect())
