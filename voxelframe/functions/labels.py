@@ -45,15 +45,13 @@ def histogram(long: DataFrame, by: Sequence[str] = ("target",)) -> DataFrame:
 
 def distribution_by_split(long: DataFrame, splits: Sequence[str] = ("train", "val", "test")) -> DataFrame:
     """Overall (split 'all') and per split, in one pass over the grouping sets; all splits are present."""
-    long.createOrReplaceTempView("_label_long")
-    counted = long.sparkSession.sql("""
-        SELECT CASE WHEN grouping(split) = 1 THEN 'all' ELSE split END AS split, target,
-               count_if(value = 1) AS positive, count_if(value = 0) AS negative, count_if(value = -1) AS uncertain,
-               count_if(value IS NULL OR value NOT IN (1, 0, -1)) AS missing
-        FROM _label_long GROUP BY GROUPING SETS ((target), (split, target))""")
-    scaffold = long.select("target").distinct().withColumn("split", F.explode(F.array(*[F.lit(s) for s in (*splits, "all")])))
-    zero = [F.coalesce(c, F.lit(0)).alias(c) for c in ("positive", "negative", "uncertain", "missing")]
-    return scaffold.join(counted, ["split", "target"], "left").select("split", "target", *zero)
+    grouped = long.groupingSets([["target"], ["split", "target"]], "split", "target").agg(F.grouping("split").alias("_all"), *histogram_columns(F.col("value")))
+    names = ("positive", "negative", "uncertain", "missing")
+    counted = grouped.select(F.when(F.col("_all") == 1, "all").otherwise(F.col("split")).alias("split"), "target", F.struct(*names).alias("c")).where("split is not null")
+    by_target = counted.groupBy("target").agg(F.map_from_entries(F.collect_list(F.struct("split", "c"))).alias("m"))
+    each = by_target.select("target", "m", F.explode(F.array(*[F.lit(s) for s in (*splits, "all")])).alias("split"))
+    found = each.withColumn("c", F.try_element_at("m", F.col("split")))
+    return found.select("split", "target", *[F.coalesce(f"c.{n}", F.lit(0)).alias(n) for n in names])
 
 
 def missing_counts(long: DataFrame) -> DataFrame:

@@ -129,10 +129,12 @@ def hierarchy(instances: DataFrame) -> DataFrame:
     First non-null values go by ordinal; series whose rows differ in modality
     or size are marked.
     """
+    both = F.when(F.col("rows").isNotNull() & F.col("columns").isNotNull(), F.struct("rows", "columns"))
+    several = lambda c: F.coalesce(F.min(c) != F.max(c), F.lit(False))
     first = lambda c: F.min(F.when(F.col(c).isNotNull(), F.struct("ordinal", c)))[c].alias(c)
     return instances.groupBy("patient_id", "study_id", "series_id").agg(
         F.count("*").alias("instances"), first("modality"), first("rows"), first("columns"),
-        (F.countDistinct("modality") > 1).alias("mixed_modality"), (F.countDistinct("rows", "columns") > 1).alias("mixed_dimensions"),
+        several("modality").alias("mixed_modality"), several(both).alias("mixed_dimensions"),
     )
 
 
