@@ -206,3 +206,34 @@ def test_edges(spark, edge, edge_rows, none_at_all):
     cut = substring.without_repeats(edge)
     assert cut.schema == edge.schema and cut.count() == len(edge_rows)
     assert substring.shared_passages(none_at_all).count() == 0 and substring.without_repeats(none_at_all).count() == 0
+
+
+def test_fewest_distinct_tokens():
+    rng = np.random.default_rng(2)
+    for n in (3, 9, 40):
+        tokens = rng.integers(0, 5, n).astype(np.uint32)
+        want = min(len(set(tokens[i : i + 6].tolist())) for i in range(max(1, n - 5)))
+        assert substring.least_distinct(tokens, 6) == want
+
+
+def test_equal_runs_cover_all_equal_windows():
+    rng = np.random.default_rng(3)
+    for _ in range(60):
+        own, lead = (rng.integers(0, 2, rng.integers(5, 60)).astype(np.uint32) for _ in range(2))
+        got = substring.equal_runs(own, lead, 6)
+        theirs = {tuple(lead[i : i + 6]) for i in range(len(lead) - 5)}
+        covered = set()
+        for first, n, there in got:
+            assert n >= 6 and (own[first : first + n] == lead[there : there + n]).all()
+            covered |= set(range(first, first + n - 5))
+        assert covered == {i for i in range(len(own) - 5) if tuple(own[i : i + 6]) in theirs}
+
+
+def test_texts_that_repeat_a_word_over_and_over(spark):
+    """Runs of one word, of different lengths and in different orders, are cut down to one text."""
+    parts = {"a": "of " * 130, "b": "that " * 200, "c": "and so " * 90}
+    rows = [(i, f"{prose(i, 40)} " + f" {prose(100 + i, 9)} ".join(parts[x] for x in order), None, None) for i, order in enumerate(["abc", "cab", "ba", "ca", "b", "bc"])]
+    for config in (substring.PassageConfig(), substring.PassageConfig(rounds=0)):
+        texts = [r["text"].split() for r in substring.without_repeats(documents(spark, rows), config).collect()]
+        for i, a in enumerate(texts):
+            assert not any(common_runs(a, b, 52) for b in texts[:i])

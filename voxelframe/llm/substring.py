@@ -34,7 +34,6 @@ doc_id is carried as null.  Extra columns are not read.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -63,11 +62,6 @@ class PassageConfig:
         """Tokens of a passage of ``least_words`` words."""
         return self.least_words - self.words + 1
 
-    @property
-    def common(self) -> int:
-        """Tokens that two passages of ``least`` tokens must have in common to be similar enough."""
-        return math.ceil(2 * self.similarity / (1 + self.similarity) * self.least - 1e-9)
-
 
 def token_hashes(tokens: np.ndarray, function: int) -> np.ndarray:
     return mix64(tokens ^ np.uint64((0xA0761D6478BD642F * (2 * function + 1)) & (2**64 - 1)))
@@ -210,6 +204,45 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["row", "lead", "low", "high", "lead_low", "lead_high"])
 
 
+def equal_runs(own: np.ndarray, lead: np.ndarray, least: int) -> list[tuple[int, int, int]]:
+    """(first, tokens, first in lead) of runs of ``least`` tokens or more that are equal in order; together they cover all such.
+
+    For texts that repeat a few tokens over and over, where sets of tokens say little.
+    """
+    if min(len(own), len(lead)) < least:
+        return []
+    weights = mix64(np.arange(1, least + 1, dtype=np.uint64))
+    mine, theirs = ((np.lib.stride_tricks.sliding_window_view(mix64(t.astype(np.uint64)), least) * weights).sum(axis=1, dtype=np.uint64) for t in (own, lead))
+    value, place = np.unique(theirs, return_index=True)
+    at = np.minimum(np.searchsorted(value, mine), len(value) - 1)
+    starts = np.flatnonzero(value[at] == mine)
+    out, begin = [], 0
+    while (next_ := int(np.searchsorted(starts, begin))) < len(starts):
+        first = int(starts[next_])
+        there = int(place[at[first]])
+        n = min(len(own) - first, len(lead) - there)
+        differ = np.flatnonzero(own[first : first + n] != lead[there : there + n])
+        n = int(differ[0]) if len(differ) else n
+        out.append((first, n, there))
+        begin = first + max(1, n - least + 1)  # a run that goes on begins there at the earliest
+    return out
+
+
+def least_distinct(tokens: np.ndarray, least: int) -> int:
+    """The fewest distinct tokens of any ``least`` in a row."""
+    n = len(tokens)
+    if n < least:
+        return len(np.unique(tokens))
+    order = np.argsort(tokens, kind="stable")
+    before = np.full(n, -1)
+    same = tokens[order[1:]] == tokens[order[:-1]]
+    before[order[1:][same]] = order[:-1][same]
+    # a token is new in the windows that begin after its last occurrence and at it at the latest
+    at = np.arange(n)
+    step = np.bincount(np.maximum(before + 1, at - least + 1).clip(0), minlength=n + 1) - np.bincount(at + 1, minlength=n + 1)
+    return int(np.cumsum(step)[: n - least + 1].min())
+
+
 def passages(own: np.ndarray, lead: np.ndarray, config: PassageConfig) -> list[tuple[int, int, int, int, float]]:
     """(first, tokens, first in lead, tokens in lead, similarity) of the passages two runs of tokens share.
 
@@ -256,6 +289,8 @@ def passages(own: np.ndarray, lead: np.ndarray, config: PassageConfig) -> list[t
             gap = max(range(1, len(runs)), key=lambda i: runs[i][0] - runs[i - 1][1])
             take(runs[:gap])
             take(runs[gap:])
+        else:
+            out.extend((first + at_, n, place, n, 1.0) for at_, n, place in equal_runs(own[first:stop], lead, config.least))
 
     for runs in joined:
         take(runs)
@@ -267,11 +302,14 @@ def first_matches(x: list[tuple], y: list[tuple] | None, config: PassageConfig)
 
     Rows are (row, first word, tokens); results (row, lead row, first word,
     tokens, first word of the lead, tokens of the lead, similarity).  All pairs
-    are compared by the number of common tokens, those with enough in full.
+    are compared by the number of common tokens, those with enough in full:
+    as many as two passages of the fewest distinct tokens need.
     """
     same, y = y is None, x if y is None else y
     ones = lambda side: [(t := np.unique(r[2]), np.ones(len(t))) for r in side]
-    enough = shared_weights(ones(x), ones(y)) >= config.common - 0.5
+    few = [np.array([least_distinct(r[2], config.least) for r in side]) for side in (x, y)]
+    share = 2 * config.similarity / (1 + config.similarity)
+    enough = shared_weights(ones(x), ones(y)) >= np.maximum(1, np.ceil(share * np.minimum(few[0][:, None], few[1][None, :]) - 1e-9)) - 0.5
     maybe: dict[int, list[tuple]] = {}
     for i, j in np.argwhere(enough).tolist():
         if (same and j <= i) or x[i][0] == y[j][0]:
