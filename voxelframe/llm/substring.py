@@ -56,6 +56,7 @@ class PassageConfig:
     signatures: int = 4
     rounds: int = 2
     block: int = 512
+    dull: int = 16
 
     @property
     def least(self) -> int:
@@ -204,6 +205,17 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["row", "lead", "low", "high", "lead_low", "lead_high"])
 
 
+def run_hashes(tokens: np.ndarray, least: int) -> np.ndarray:
+    """A hash of the ``least`` tokens from each token on."""
+    if len(tokens) < least:
+        return np.zeros(0, np.uint64)
+    values = mix64(tokens.astype(np.uint64))
+    total = np.zeros(len(values) - least + 1, np.uint64)
+    for j in range(least):
+        total = total * np.uint64(0x9E3779B97F4A7C15) + values[j : j + len(total)]
+    return total
+
+
 def equal_runs(own: np.ndarray, lead: np.ndarray, least: int) -> list[tuple[int, int, int]]:
     """(first, tokens, first in lead) of runs of ``least`` tokens or more that are equal in order; together they cover all such.
 
@@ -211,8 +223,7 @@ def equal_runs(own: np.ndarray, lead: np.ndarray, least: int) -> list[tuple[int,
     """
     if min(len(own), len(lead)) < least:
         return []
-    weights = mix64(np.arange(1, least + 1, dtype=np.uint64))
-    mine, theirs = ((np.lib.stride_tricks.sliding_window_view(mix64(t.astype(np.uint64)), least) * weights).sum(axis=1, dtype=np.uint64) for t in (own, lead))
+    mine, theirs = run_hashes(own, least), run_hashes(lead, least)
     value, place = np.unique(theirs, return_index=True)
     at = np.minimum(np.searchsorted(value, mine), len(value) - 1)
     starts = np.flatnonzero(value[at] == mine)
@@ -303,13 +314,21 @@ def first_matches(x: list[tuple], y: list[tuple] | None, config: PassageConfig)
     Rows are (row, first word, tokens); results (row, lead row, first word,
     tokens, first word of the lead, tokens of the lead, similarity).  All pairs
     are compared by the number of common tokens, those with enough in full:
-    as many as two passages of the fewest distinct tokens need.
+    as many as two passages of the fewest distinct tokens need.  Texts with
+    fewer than ``dull`` distinct ones somewhere must share a run of equal tokens.
     """
     same, y = y is None, x if y is None else y
-    ones = lambda side: [(t := np.unique(r[2]), np.ones(len(t))) for r in side]
+    ones = lambda sets: [(t, np.ones(len(t))) for t in sets]
     few = [np.array([least_distinct(r[2], config.least) for r in side]) for side in (x, y)]
     share = 2 * config.similarity / (1 + config.similarity)
-    enough = shared_weights(ones(x), ones(y)) >= np.maximum(1, np.ceil(share * np.minimum(few[0][:, None], few[1][None, :]) - 1e-9)) - 0.5
+    needed = np.maximum(1, np.ceil(share * np.minimum(few[0][:, None], few[1][None, :]) - 1e-9))
+    enough = shared_weights(ones([np.unique(r[2]) for r in x]), ones([np.unique(r[2]) for r in y])) >= needed - 0.5
+    # a few tokens over and over: any two such texts have enough in common, so these must share a run of equal tokens
+    dull = [np.flatnonzero(f < config.dull) for f in few]
+    enough[dull[0], :], enough[:, dull[1]] = False, False
+    if len(dull[0]) and len(dull[1]):
+        runs = [ones([np.unique(run_hashes(side[i][2], config.least)) for i in at]) for side, at in zip((x, y), dull, strict=True)]
+        enough[np.ix_(*dull)] = shared_weights(*runs) > 0.5
     maybe: dict[int, list[tuple]] = {}
     for i, j in np.argwhere(enough).tolist():
         if (same and j <= i) or x[i][0] == y[j][0]:
