@@ -30,10 +30,11 @@ def filter_reason(syntax: Column | None = None, syntaxes: Sequence[str] = (), mo
 
 
 def apply_filter(inventory: DataFrame, reason: Column, policy: str = "skip") -> tuple[DataFrame, DataFrame]:
-    """(kept, skipped with reason); ``fail`` turns the first rejected row into an error."""
+    """(kept, skipped with reason); ``fail`` turns rejected rows into an error that names the least of their reasons, whichever task meets it."""
     marked = inventory.withColumn("reason", reason)
     if policy == "fail":
-        marked = marked.withColumn("reason", F.when(F.col("reason").isNotNull(), F.raise_error(F.concat(F.lit("rejected: "), "reason"))))
+        least = marked.agg(F.min("reason").alias("_least"))  # one row
+        marked = marked.crossJoin(F.broadcast(least)).withColumn("reason", F.when(F.col("_least").isNotNull(), F.raise_error(F.concat(F.lit("rejected: "), "_least")))).drop("_least")
     elif policy not in ("skip", "warn"):
         raise ValueError(f"unknown filter policy {policy!r}")
     return marked.where("reason is null").drop("reason"), marked.where("reason is not null")
