@@ -80,6 +80,15 @@ def test_row_errors(spark):
     assert got == {name: want for name, (_, want) in cases.items() if want}
 
 
+def test_documents_are_dealt_out_before_they_are_sorted(spark):
+    """Few small rows can hold very many documents; the task that reads them must not sort them all."""
+    rows = spark.range(50, numPartitions=1).selectExpr("concat('r', id) run_id", "explode(array('summary', 'metadata')) artifact", "'{}' document")
+    got = artifacts.by_run(rows)
+    assert got.count() == 50 and got.where("summary = '{}' AND metadata = '{}' AND cache IS NULL").count() == 50
+    before, exchange, reading = got._jdf.queryExecution().executedPlan().toString().partition("Exchange hashpartitioning(run_id")
+    assert exchange and "Sort" in before and "Sort" not in reading and "Exchange" not in before
+
+
 def test_unreadable_documents(spark):
     rows = spark.createDataFrame([("a", "summary", "{not json"), ("a", "metadata", None)], "run_id string, artifact string, document string")
     assert "provenance missing" in found(artifacts.run_errors(rows))["a"]

@@ -42,9 +42,13 @@ EQUAL = (
 
 
 def by_run(artifacts: DataFrame) -> DataFrame:
-    """(run_id, a column of JSON text for each of ARTIFACTS); keys of objects are put in order, the last of equal keys wins."""
+    """(run_id, a column of JSON text for each of ARTIFACTS); keys of objects are put in order, the last of equal keys wins.
+
+    Texts are aggregated by sorting. Documents are dealt out by run first, so a
+    task sorts its share of the runs, not all that it reads.
+    """
     text = F.to_json(F.try_parse_json("document"))
-    return artifacts.groupBy("run_id").pivot("artifact", list(ARTIFACTS)).agg(F.max(text))
+    return artifacts.repartition("run_id").groupBy("run_id").pivot("artifact", list(ARTIFACTS)).agg(F.max(text))
 
 
 def at(place: str) -> Column:
