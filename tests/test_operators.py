@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from voxelframe.functions import hashing, labels, text
 from voxelframe.operators import batches, cache, dataset, inventory, manifest, metrics, repeats, sampling
+from voxelframe.plans import views
 
 
 def test_label_policies(spark):
@@ -256,3 +257,22 @@ def test_running_sums_go_over_all_ranges(spark):
                 assert r["n_upto"] == total
             assert {r["n_all"] for r in own} == {total}
     assert running_sums(rows.where("false"), ["g"], "v", {"n": "n"}).count() == 0
+
+
+def test_instances_are_dealt_out_by_their_number(spark, tmp_path):
+    """The task that joins and counts the instances of a study holds a share of one size, however few partitions the session has."""
+    lines = spark.range(600_000).selectExpr("id div 4 l_orderkey", "id % 4 l_linenumber", "if(id % 4 < 3, 'A', 'R') l_returnflag", "'O' l_linestatus", "5.0D l_quantity")
+    lines.write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.range(150_000).selectExpr("id o_orderkey", "id % 1000 o_custkey").write.parquet(f"{tmp_path}/orders.parquet")
+    confs = {"spark.sql.shuffle.partitions": "1", "spark.sql.autoBroadcastJoinThreshold": "-1"}  # large orders are not broadcast
+    before = {k: spark.conf.get(k) for k in confs}
+    for k, v in confs.items():
+        spark.conf.set(k, v)
+    try:
+        held = views.instances(spark, str(tmp_path)).groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+        got = inventory.hierarchy_counts(views.instances(spark, str(tmp_path))).groupBy("studies", "series", "instances").count().collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert held <= 250_000
+    assert [tuple(r) for r in got] == [(150, 300, 600, 1000)]

@@ -34,9 +34,19 @@ def repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(F.col("event_type").alias("group_key"), F.col("user_id").alias("repeat"), "value", "ts", "event_id")
 
 
+def dealt(rows: DataFrame, key: str, most: int = 250_000) -> DataFrame:
+    """The rows, by ``key`` in tasks of about ``most`` rows if the session's partitions would hold more.
+
+    For joins whose keys are then aggregated in the same task: its sorts and
+    hash maps stay at one size, however many rows there are.
+    """
+    n = -(-rows.count() // most)
+    return rows.repartition(n, key) if n > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) else rows
+
+
 def instances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers as patients, orders as studies, suppliers' lines as series."""
-    orders, lines = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    orders, lines = table(spark, sf_dir, "orders"), dealt(table(spark, sf_dir, "lineitem"), "l_orderkey")
     rows = lines.join(orders.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
     return rows.select(
         F.col("o_custkey").alias("patient_id"), F.col("o_orderkey").alias("study_id"), F.col("l_returnflag").alias("series_id"), F.col("l_linenumber").alias("ordinal"),
