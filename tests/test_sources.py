@@ -2,8 +2,10 @@ import gzip
 import struct
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
+from voxelframe.plans import files
 from voxelframe.sources import challenge, dicom, nifti, sinks, tabular, telemetry
 
 
@@ -241,3 +243,40 @@ def test_telemetry(spark):
     assert sorted(tuple(r) for r in telemetry.map_memory(lines).collect()) == [("anon", 4, 3), ("cache_images", 10, 1)]
     gpu = spark.createDataFrame([("55 %, 1024 MiB",), ("bad",)], "text string")
     assert [tuple(r) for r in telemetry.gpu_samples(gpu).collect()] == [(55.0, 1024.0)]
+
+
+class Captured:
+    """Rows whose function over Arrow batches is kept, to be run here."""
+
+    def select(self, *_):
+        return self
+
+    where = drop = select
+
+    def mapInArrow(self, run, schema):
+        self.run = run
+        return self
+
+
+def test_files_of_a_batch_are_made_and_read_in_slices(spark):
+    """However many files a batch holds, a worker makes objects of a small part of them, and sends that part before the next."""
+    made, count = [], 1_000
+
+    def make(doc_id, text):
+        made.append(doc_id)
+        return f"/f/{doc_id}.dcm", dicom.build({dicom.TAGS["pixel_data"]: ("OB", [text.encode()])}, dicom.JPEG_BASELINE)
+
+    batch = pa.RecordBatch.from_pydict({"doc_id": range(count), "text": [f"text {i}" for i in range(count)]})
+    parts, sizes = [], [0]
+    for part in files.made(Captured(), make).run(iter([batch, batch])):
+        sizes.append(len(made))
+        parts.append(part)
+    assert len(made) == 2 * count and max(b - a for a, b in zip(sizes, sizes[1:], strict=False)) <= 200
+    whole = pa.Table.from_batches(parts).combine_chunks().to_batches()
+    for read, filled in ((dicom.inventory_of, "pixel_hash"), (nifti.headers_of, "error")):
+        captured = Captured()
+        read(captured)
+        got = list(captured.run(iter(whole)))
+        table = pa.Table.from_batches(got)
+        assert max(g.num_rows for g in got) <= 200 and None not in table[filled].to_pylist()
+        assert table["path"].to_pylist() == whole[0]["path"].to_pylist()

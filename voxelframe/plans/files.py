@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from voxelframe.functions import labels, text
+from voxelframe.functions.arrow import slices
 from voxelframe.operators import artifacts, dataset, images, sampling, splits, volumes
 from voxelframe.plans import views
 from voxelframe.plans.catalogue import query
@@ -33,7 +34,7 @@ def made(rows: DataFrame, make: Callable[..., tuple[str, bytes]]) -> DataFrame:
     """(path, content) of each row by ``make(**row)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             files = [make(**row) for row in batch.to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in files], pa.string()), pa.array([f[1] for f in files], pa.binary())], ["path", "content"])
 
@@ -216,7 +217,7 @@ def _display(spark: SparkSession, sf_dir: str, make: Callable[..., tuple[str, by
     """(vec_id, first, total, n) of the pixels that ``show`` makes of each file."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             out = [show(dicom.parse(content)).astype(np.float64).ravel() for content in batch.column("content").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array([float(x[0]) for x in out]), pa.array([float(x.sum()) for x in out]), pa.array([len(x) for x in out], pa.int64())], ["path", "first", "total", "n"])
 
@@ -287,7 +288,7 @@ def dicom_inspection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tags of single files with their display text; long values by their size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows = [(p, tag, shown) for p, c in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True) for tag, shown in dicom.inspect(c).items()]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.string())] * 3, ["path", "tag", "shown"])
 
